@@ -6,8 +6,8 @@ does the share of lists that a search must visit: the least share whose recall o
 row is indexed. The index is a table in the shared folder: list, id, code, vector.
 
 Search: lists are dealt to bins of bounded size, a long list to several. A bin's rows come first and stay in memory,
-then queries stream past: the distance tables of a query score the rows of its lists, the best `rerank` of a bin are
-scored exactly in double precision, and the best k of each bin go to the final ranking. Queries are a column of ids
+then queries stream past: the distance tables of a query score the rows of its lists, those that may be among
+the k best of the bin within the quantisation error (`rerank` at least) are scored exactly in double precision, and the best k of each bin go to the final ranking. Queries are a column of ids
 of the table itself; a query's own id is no candidate.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components take
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import mix64, staged
 
 SAMPLE, MOST_LISTS, BIN_ROWS, LEAST_BINS = 20_000, 1024, 20_000, 16
+#: Quantisation errors (of usual size) by which a row may be better than its approximate score.
+MARGIN = np.float32(2.5)
 INDEX = "list int, id long, code binary, vector binary"
 ROWS = "bin int, query int, id long, list int, code binary, vector binary, probes array<int>"
 
@@ -191,6 +193,11 @@ class Bin:
         lists = t.column("list").to_numpy()
         self.codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
         self.vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(self.ids), -1)
+        known = model.coarse[lists].copy()
+        for part, (cut, book) in enumerate(zip(model.cuts, model.books, strict=True)):
+            known[:, cut] += book[self.codes[:, part]]
+        # usual size of a score's quantisation error, for a query of length 1
+        self.error = (np.sqrt(((self.vectors - known) ** 2).sum(axis=1)) / np.sqrt(model.dim)).astype(np.float32)
         self.members = {int(i): np.flatnonzero(lists == i) for i in np.unique(lists)}
 
     def search(self, ids: np.ndarray, q: np.ndarray, probes: list[list[int]], k: int, rerank: int) -> list[tuple[int, int, float]]:
@@ -208,15 +215,16 @@ class Bin:
             for part, table in enumerate(tables):
                 score += table[who][:, self.codes[rows, part]]
             near[np.ix_(who, rows)] = score
-        out = []
+        out, length = [], np.sqrt((q * q).sum(axis=1)).astype(np.float32)
         for i, row in enumerate(near):
             row[self.ids == ids[i]] = -np.inf
-            if len(row) > rerank:
-                bar = np.partition(row, len(row) - rerank)[len(row) - rerank]
-                over = np.flatnonzero(row > bar)
-                some = np.concatenate([over, np.flatnonzero(row == bar)[: rerank - len(over)]])
-            else:
-                some = np.arange(len(row))
+            some = np.arange(len(row))
+            if len(row) > k:
+                # rows whose score may reach the kth best, and the best of the rest up to `rerank`
+                bar = np.partition(row, len(row) - k)[len(row) - k]
+                some = np.flatnonzero(row + MARGIN * length[i] * self.error >= bar)
+                if len(some) < min(rerank, len(row)):
+                    some = np.argsort(-row, kind="stable")[:rerank]
             some = some[row[some] > -np.inf]
             exact = (self.vectors[some] * q[i]).sum(axis=1)
             best = np.lexsort((self.ids[some], -exact))[:k]
