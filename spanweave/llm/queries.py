@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontamination, licenses, ngram_join, packing, token_counts, token_store, toxicity, url_filter
+from . import ann, decontamination, licenses, ngram_join, packing, pii, token_counts, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -15,6 +15,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048))
 
 
+#: A fixed key for the registered query; a real run takes a secret one.
+PII_KEY = b"spanweave"
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.pseudonymise(docs, PII_KEY, kinds_col="kinds")
+    return out.select("doc_id", "text", F.size("kinds").alias("n_replaced"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("kinds"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
