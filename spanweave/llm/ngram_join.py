@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, release_shuffles, slices, staged
-from .shingles import set_digest, shingle_sets
+from .common import list_array, mix64, release_shuffles, slices, staged
+from .shingles import STEP, set_digest, shingle_sets
 
 #: Parts of the hash range that the suffix filter compares.
 PARTS = 16
@@ -61,23 +61,56 @@ def _sketches(n: int, percent: int) -> Callable:
     return run
 
 
-def _full_sets(n: int) -> Callable:
+def _full_sets(n: int, bits: np.ndarray) -> Callable:
+    """Sets of the documents whose id is in a Bloom filter."""
+
     def run(batches):
-        for batch, texts in slices(batches, "text"):
-            want = batch.column(batch.schema.get_field_index("digest")).to_pylist()
-            nodes = batch.column(batch.schema.get_field_index("node"))
-            sets = shingle_sets(texts, n)
-            keep = [i for i, (s, d) in enumerate(zip(sets, want, strict=True)) if len(s) and set_digest(s) == d]
-            values = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.zeros(0, np.int64)
-            edges = [np.bincount((sets[i] >> np.uint64(60)).astype(np.int64), minlength=PARTS) for i in keep]
-            yield pa.RecordBatch.from_arrays([
-                nodes.take(pa.array(keep, pa.int64())), pa.array([len(sets[i]) for i in keep], pa.int64()), list_array(pa.array(values), np.array([len(sets[i]) for i in keep], np.int64)),
-                list_array(pa.array(np.concatenate(edges).astype(np.int32) if edges else np.zeros(0, np.int32)), np.full(len(keep), PARTS)),
-            ], names=["node", "n", "grams", "parts"])
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy().view(np.uint64)
+            maybe = batch.filter(pa.array(in_bloom(bits, ids)))
+            for part, texts in slices(iter([maybe]), "text"):
+                sets = shingle_sets(texts, n)
+                keep = [i for i, s in enumerate(sets) if len(s)]
+                values = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.zeros(0, np.int64)
+                edges = [np.bincount((sets[i] >> np.uint64(60)).astype(np.int64), minlength=PARTS) for i in keep]
+                yield pa.RecordBatch.from_arrays([
+                    part.column(part.schema.get_field_index("doc_id")).take(pa.array(keep, pa.int64())), pa.array([set_digest(sets[i]) for i in keep], pa.binary()), pa.array([len(sets[i]) for i in keep], pa.int64()),
+                    list_array(pa.array(values), np.array([len(sets[i]) for i in keep], np.int64)), list_array(pa.array(np.concatenate(edges).astype(np.int32) if edges else np.zeros(0, np.int32)), np.full(len(keep), PARTS)),
+                ], names=["doc_id", "digest", "n", "grams", "parts"])
 
     return run
 
 
+#: Most bits of the Bloom filter (4 MB): a full filter lets more documents through to the exact join, it loses none.
+BLOOM_BITS = 1 << 25
+BLOOM_HASHES = 5
+
+
+def bloom(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of a column of ids, of at most BLOOM_BITS bits, merged by Spark."""
+    bits = min(BLOOM_BITS, max(1 << 10, 1 << (12 * count).bit_length()))
+    key = F.col(ids.columns[0])
+
+    def places(batches):
+        for b in batches:
+            at = bloom_places(b.column(0).to_numpy().view(np.uint64), bits).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
+
+    words = ids.select(key.alias("id")).mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([mix64(ids + np.uint64(k + 1) * STEP) & np.uint64(bits - 1) for k in range(BLOOM_HASHES)])
+
+
+def in_bloom(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = bloom_places(ids, len(words) * 64)
+    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
+
+
 def _prefix(percent: int) -> str:
     return f"(n - cast(ceil({percent} * n / 100) as bigint) + 1)"
 
@@ -137,8 +170,8 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
     release_shuffles(spark)
 
     # Step 2: their full sets, from their texts.
-    texts = cols.where("doc_id is not null").join(left, "doc_id").select("doc_id", "node", "digest", "text")
-    found = texts.mapInArrow(_full_sets(n), "node long, n long, grams array<long>, parts array<int>")
+    filter_ = bloom(left.select("doc_id"), left.count())
+    found = cols.where("doc_id is not null").mapInArrow(_full_sets(n, filter_), "doc_id long, digest binary, n long, grams array<long>, parts array<int>").join(left, ["doc_id", "digest"])
     sets = staged(found.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("parts").alias("parts")), "sets")
     release_shuffles(spark)
     shared = _frequent(sets.select("node", F.explode("grams").alias("gram"))).select("node", F.array_sort("shared").alias("shared"))
