@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..params import RULES, Rules
-from .signals import W, best_arms, displacements, rolling_motion, wrist_displacement
+from .signals import best_arms, by_frame, displacements, rolling_motion, wrist_displacement
 
 
 def holds(condition: Column) -> Column:
@@ -45,7 +45,7 @@ def anchors(df: DataFrame, r: Rules = RULES) -> DataFrame:
     out = df.withColumn("active", F.col("m_roll3_e5") > r.motion_e5)
     out = out.withColumn("base", F.col("stance_ok") & F.col("hand_dance") & F.col("active"))
     out = out.withColumn("anchor", F.col("base") & (F.col("m_roll3_e5") > r.motion_anchor_e5))
-    return out.withColumn("near_anchor", F.max("anchor").over(W.rowsBetween(-r.near, r.near)))
+    return out.withColumn("near_anchor", F.max("anchor").over(by_frame().rowsBetween(-r.near, r.near)))
 
 
 def relaxed(df: DataFrame, r: Rules = RULES) -> DataFrame:
@@ -60,14 +60,14 @@ def relaxed(df: DataFrame, r: Rules = RULES) -> DataFrame:
 
 def smooth(df: DataFrame, flag: str = "dance_raw") -> DataFrame:
     """dance: at least 0.34 of the sample and its neighbours; at the ends of a series of those that there are."""
-    three = W.rowsBetween(-1, 1)
+    three = by_frame().rowsBetween(-1, 1)
     out = df.withColumns({"raw_sum": F.sum(F.col(flag).cast("long")).over(three), "raw_count": F.count(F.lit(1)).over(three)})
     return out.withColumn("dance", 100 * F.col("raw_sum") >= 34 * F.col("raw_count"))
 
 
 def smooth_padded(df: DataFrame, flag: str = "dance_raw") -> DataFrame:
     """The stepwise variant: the ends are padded with zeros, so always a third each."""
-    out = df.withColumn("raw_sum", F.sum(F.col(flag).cast("long")).over(W.rowsBetween(-1, 1)))
+    out = df.withColumn("raw_sum", F.sum(F.col(flag).cast("long")).over(by_frame().rowsBetween(-1, 1)))
     return out.withColumns({"raw_count": F.lit(3).cast("long"), "dance": F.col("raw_sum") >= 2})
 
 

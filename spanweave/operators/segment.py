@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..params import RULES, Rules
-from .signals import W
 
 
 def islands(df: DataFrame, flag: str, bridge_samples: float = 0.0, key: str = "video", order: str = "frame") -> DataFrame:
@@ -84,5 +83,3 @@ def merged_candidates(cands: DataFrame, r: Rules = RULES) -> DataFrame:
     conf, motion = F.floor(F.col("sum_confidence_e3") / F.col("n") + 0.5), F.floor(F.col("sum_m_e5") / F.col("n") / 10 + 0.5)
     return good.groupBy("video", "block").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("parts"), F.sum(conf).alias("sum_conf_e3"), F.sum(motion).alias("sum_motion_e4")).withColumn("dur_s", F.col("end_s") - F.col("start_s"))
 
-
-__all__ = ["W", "blocks", "candidates", "clip_bounds", "clips", "islands", "merge_intervals", "merged_candidates", "runs"]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.columns import distance
 
-W = Window.partitionBy("video").orderBy("frame")
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("video").orderBy("frame")
 
 
 def best_arms(df: DataFrame) -> DataFrame:
@@ -21,12 +22,12 @@ def best_arms(df: DataFrame) -> DataFrame:
 
 def _moved(side: str) -> Column:
     x, y = f"x{side}", f"y{side}"
-    return distance(F.col(x), F.col(y), F.lag(x).over(W), F.lag(y).over(W))
+    return distance(F.col(x), F.col(y), F.lag(x).over(by_frame()), F.lag(y).over(by_frame()))
 
 
 def wrist_displacement(df: DataFrame) -> DataFrame:
     """d_wrist: the larger move of both wrists over the torso; 0 where this or the sample before was not detected."""
-    both = F.col("det") & F.coalesce(F.lag("det").over(W), F.lit(False))
+    both = F.col("det") & F.coalesce(F.lag("det").over(by_frame()), F.lit(False))
     d = F.greatest(_moved("15"), _moved("16")) / F.greatest(F.col("torso"), F.lit(1e-4))
     return df.withColumn("d_wrist", F.when(both, d).otherwise(F.lit(0.0)))
 
@@ -34,14 +35,14 @@ def wrist_displacement(df: DataFrame) -> DataFrame:
 def displacements(df: DataFrame) -> DataFrame:
     """The stepwise variant: null where a sample is missing or the torso is 0."""
     scale = F.nullif(F.col("torso"), F.lit(0.0))
-    move = lambda x, y: distance(F.col(x), F.col(y), F.lag(x).over(W), F.lag(y).over(W)) / scale
+    move = lambda x, y: distance(F.col(x), F.col(y), F.lag(x).over(by_frame()), F.lag(y).over(by_frame())) / scale
     out = df.withColumns({"d_sh": move("sh_x", "sh_y"), "d_hip": move("hip_x", "hip_y"), "d_wrist_l": move("x15", "y15"), "d_wrist_r": move("x16", "y16")})
     return out.withColumn("d_wrist", F.greatest("d_wrist_l", "d_wrist_r"))
 
 
 def rolling_motion(df: DataFrame) -> DataFrame:
     """m_sum3, m_count3 over the sample and its neighbours, and their rounded mean m_roll3_e5."""
-    three = W.rowsBetween(-1, 1)
+    three = by_frame().rowsBetween(-1, 1)
     out = df.withColumns({"m_sum3": F.sum("m_e5").over(three), "m_count3": F.count("m_e5").over(three)})
     return out.withColumn("m_roll3_e5", F.floor(F.col("m_sum3") / F.col("m_count3") + 0.5))
 
