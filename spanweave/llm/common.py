@@ -41,6 +41,29 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Scratch tables that go when the work is done: what is returned must not read them any more."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.count = spark, scratch_path(spark, label), 0
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        return self.kept(df, label)[0]
+
+    def kept(self, df: DataFrame, label: str) -> tuple[DataFrame, str]:
+        """A staged table and its path, for dropping it early."""
+        self.count += 1
+        path = f"{self.root}/{self.count}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_path(self.spark, self.root)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table through Spark's own file system layer."""
     jvm = spark.sparkContext._jvm

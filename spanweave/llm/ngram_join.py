@@ -2,7 +2,7 @@
 
 Equal sets become one node. The join is a rare-first prefix join in two steps:
 
-1. A fixed share of the hash range (twice the prefix share) is counted over all nodes. The order of n-grams is: this
+1. A fixed share of the hash range (one and a half times the prefix share) is counted over all nodes. The order of n-grams is: this
    range by document frequency, then the rest by hash. A node whose n-grams of frequency 1 already fill its prefix
    can link to nothing; most nodes end here.
 2. The full sets of the nodes left are ordered by their document frequency among these nodes (an order of all
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import list_array, mix64, release_shuffles, slices, staged
+from .common import Workspace, drop_path, list_array, mix64, release_shuffles, slices, staged
 from .shingles import STEP, set_digest, shingle_sets
 
 #: Parts of the hash range that the suffix filter compares.
@@ -40,9 +40,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def low_end_of(percent: int) -> int:
+    """End of the share of the hash range whose n-grams are counted over all nodes."""
+    return min(2**64 - 1, 3 * (100 - percent) * 2**64 // 200)
+
+
 def _sketches(n: int, percent: int) -> Callable:
-    share = min(1.0, 2 * (100 - percent) / 100)
-    low_end = np.uint64(min(2**64 - 1, int(share * 2**64)))
+    low_end = np.uint64(low_end_of(percent))
 
     def run(batches):
         for batch, texts in slices(batches, "text"):
@@ -103,7 +107,7 @@ def bloom(ids: DataFrame, count: int) -> np.ndarray:
 
 
 def bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
-    return np.stack([mix64(ids + np.uint64(k + 1) * STEP) & np.uint64(bits - 1) for k in range(BLOOM_HASHES)])
+    return np.stack([mix64(ids + np.uint64((k + 1) * int(STEP) % 2**64)) & np.uint64(bits - 1) for k in range(BLOOM_HASHES)])
 
 
 def in_bloom(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -121,16 +125,16 @@ def _frequent(grams: DataFrame) -> DataFrame:
     return grams.join(df, "gram").groupBy("node").agg(F.collect_list(F.struct("df", "gram")).alias("shared"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, ws: Workspace) -> DataFrame:
     """links: a, b (each link once). Returns node, label: the smallest node that links reach from it."""
-    both = staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    both = ws.staged(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = ws.staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", "label", F.least("label", "m").alias("m"))
-        step = staged(step, "labels")
+        step = ws.staged(step, "labels")
         jump = step.join(step.select(F.col("node").alias("m"), F.col("m").alias("mm")), "m", "left").select("node", F.least("m", F.coalesce("mm", "m")).alias("label"), (F.least("m", F.coalesce("mm", "m")) != F.col("label")).alias("moved"))
-        jump = staged(jump, "labels")
+        jump = ws.staged(jump, "labels")
         labels = jump.select("node", "label")
         if jump.where("moved").isEmpty():
             return labels
@@ -154,52 +158,61 @@ def _filters(percent: int) -> str:
 
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, nodes, labels): rows doc_id, n, digest; nodes node, digest, doc_id (the smallest of its rows); labels node, label of the linked nodes."""
+    with Workspace(docs.sparkSession, "jaccard") as ws:
+        return _similar_sets(docs, n, percent, id_col, text_col, ws)
+
+
+def _similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(cols.mapInArrow(_sketches(n, percent), "doc_id long, n long, digest binary, low long, grams array<long>"), "sketches")
-    linked = rows.where("digest is not null and doc_id is not null")
-    nodes = staged(linked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("grams").alias("grams")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    wide, path = ws.kept(cols.mapInArrow(_sketches(n, percent), "doc_id long, n long, digest binary, low long, grams array<long>"), "sketches")
+    rows = staged(wide.select("doc_id", "n", "digest"), "rows")
+    linked = wide.where("digest is not null and doc_id is not null")
+    nodes, nodes_path = ws.kept(linked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("grams").alias("grams")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    names = staged(nodes.select("node", "digest", "doc_id"), "names")
+    drop_path(spark, path)
     release_shuffles(spark)
 
     # Step 1: nodes that still have a place for a shared n-gram in their prefix.
     shared = _frequent(nodes.select("node", F.explode("grams").alias("gram")))
-    low_end = min(2**64 - 1, int(min(1.0, 2 * (100 - percent) / 100) * 2**64))
+    low_end = low_end_of(percent)
     inside = "true" if low_end >= 2**64 - 1 else f"(x.gram >= 0 and x.gram < {low_end})" if low_end < 2**63 else f"(x.gram >= 0 or x.gram < {low_end - 2**64})"
     left = nodes.select("node", "doc_id", "digest", "n", "low").join(shared, "node").where(f"low - size(filter(shared, x -> {inside})) < {_prefix(percent)}").select("node", "doc_id", "digest")
-    left = staged(left, "left")
+    left = ws.staged(left, "left")
+    drop_path(spark, nodes_path)
     release_shuffles(spark)
 
     # Step 2: their full sets, from their texts.
     filter_ = bloom(left.select("doc_id"), left.count())
     found = cols.where("doc_id is not null").mapInArrow(_full_sets(n, filter_), "doc_id long, digest binary, n long, grams array<long>, parts array<int>").join(left, ["doc_id", "digest"])
-    sets = staged(found.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("parts").alias("parts")), "sets")
+    sets = ws.staged(found.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("parts").alias("parts")), "sets")
     release_shuffles(spark)
     shared = _frequent(sets.select("node", F.explode("grams").alias("gram"))).select("node", F.array_sort("shared").alias("shared"))
     own = sets.select("node", "n", "parts").join(shared, "node").withColumn("own", F.col("n") - F.size("shared")).where(f"own < {_prefix(percent)}")
     prefix = own.select("node", "n", "own", "parts", F.posexplode(F.expr(f"slice(shared, 1, cast({_prefix(percent)} - own as int))")).alias("at", "s")).select("node", "n", "own", "parts", (F.col("own") + F.col("at")).alias("pos"), F.col("s.gram").alias("gram"))
-    prefix = staged(prefix, "prefix")
+    prefix = ws.staged(prefix, "prefix")
     release_shuffles(spark)
 
     # Pairs with the likely original of each n-gram.
     top = prefix.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "pos", "parts")).alias("y")).where("k >= 2").select("gram", "y")
     stars = prefix.alias("x").join(top, "gram").where(F.expr(f"x.node != y.node and {_filters(percent)}")).select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
-    stars = staged(stars, "stars")
-    first = staged(_verified(stars, sets, percent), "links")
-    labels = components(first)
+    stars = ws.staged(stars, "stars")
+    first = ws.staged(_verified(stars, sets, percent), "links")
+    labels = components(first, ws)
     release_shuffles(spark)
 
     # Pairs across groups: one side is outside the group that has most nodes of the n-gram.
-    marked = staged(prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
+    marked = ws.staged(prefix.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
     sizes = marked.groupBy("gram", "label").agg(F.count("*").alias("k"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("groups")).where("groups >= 2").select("gram", F.col("m.label").alias("main"))
     open_ = marked.join(main, "gram")
     pairs = open_.where("label != main").alias("x").join(open_.alias("y"), F.expr(f"x.gram = y.gram and x.label != y.label and (y.label = y.main or x.node < y.node) and {_filters(percent)}"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    second = staged(_verified(pairs, sets, percent), "links")
+    second = ws.staged(_verified(pairs, sets, percent), "links")
     if not second.isEmpty():
-        labels = components(first.unionByName(second))
+        labels = components(first.unionByName(second), ws)
     release_shuffles(spark)
-    return rows.select("doc_id", "n", "digest"), nodes.select("node", "digest", "doc_id"), labels
+    return rows, names, staged(labels, "labels")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
