@@ -5,9 +5,12 @@ text copied often counts once. The vocabulary are the words that toxic examples
 (log-likelihood ratio above twice the logarithm of the number of words tested). Document frequencies of these words
 are then counted over all documents.
 
-Score: the nearest `neighbours` examples by cosine vote with their similarity as weight; the votes are shrunk towards
-the toxic rate of examples without any of the words (the rate that a text without evidence gets), with a strength
-chosen by leave-one-out log loss, so scores are probabilities. The neighbours are the evidence.
+Score: a vector holds the TF-IDF weights of the vocabulary's words and one weight for the rest of the text, so that
+one chance word makes no text a toxic one. The nearest `neighbours` examples by cosine vote with their similarity as
+weight. Examples without any of the words are all equally near; they fill the places that nearer ones leave, with
+their toxic rate as vote (the rate that a text without evidence gets). The votes are shrunk towards that rate; the
+strength, and the weight of the rest, are chosen by leave-one-out log loss, so scores are probabilities. The
+neighbours are the evidence.
 
 Defined results: null or wordless text, and text with no word of the vocabulary, gets the base rate and no evidence;
 labels that are null or belong to no document are not used, of several labels for a document the highest counts;
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, plain_strings, slices, staged
+from .common import Workspace, fresh, plain_strings, slices
 from .shingles import shingle_sets
 
 WORD = re.compile(r"[^\W_]+")
@@ -89,6 +92,8 @@ class Model:
     base: float
     shrink: float
     neighbours: int
+    rest: float = 1.0
+    plain: int = 0  # examples without any of the words
     automaton: object = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -98,19 +103,31 @@ class Model:
         return count_terms(self, text)
 
     def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items()}
+        """Unit vector; the last component is the rest of the text. Empty without words of the vocabulary."""
+        if not counts:
+            return {}
+        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())} | {len(self.vocabulary): self.rest}
         norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: float(w / norm) for t, w in sorted(raw.items())} if norm else {}
+        return {t: w / norm for t, w in raw.items()}
 
-    def vote(self, near: list[tuple[float, int]], shrink: float | None = None) -> float:
+    def near(self, vector: dict[int, float], skip: int = -1) -> tuple[list[tuple[float, int]], float, int]:
+        """Nearest examples with words, the similarity of those without, and how many of the latter vote."""
+        if not vector or self.index is None:
+            return [], 0.0, 0
+        level = vector[len(self.vocabulary)]
+        found = [x for x in self.index.nearest(vector, self.neighbours, skip) if x[0] >= level]
+        return found, level, min(self.plain, self.neighbours - len(found))
+
+    def vote(self, near: tuple[list[tuple[float, int]], float, int], shrink: float | None = None) -> float:
         m = self.shrink if shrink is None else shrink
-        weight = [s * self.weights[int(self.labels[i])] for s, i in near]
-        toxic = sum(w for w, (_, i) in zip(weight, near, strict=True) if self.labels[i])
-        return (toxic + m * self.base) / (sum(weight) + m)
+        found, level, many = near
+        weight = [s * self.weights[int(self.labels[i])] for s, i in found]
+        toxic = sum(w for w, (_, i) in zip(weight, found, strict=True) if self.labels[i])
+        return (toxic + (many * level + m) * self.base) / (sum(weight) + many * level + m)
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(self.terms(text)), self.neighbours) if self.index else []
-        return self.vote(near), near
+        near = self.near(self.vector(self.terms(text)))
+        return self.vote(near), near[0]
 
 
 def count_terms(model, text: str) -> Counter:
@@ -214,8 +231,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
 
 def _weigh(model: Model, cols: DataFrame) -> None:
     """Document frequencies over all documents, the examples' vectors, base rate and shrinkage."""
+    with Workspace(cols.sparkSession, "toxicity") as ws:
+        _read_weights(model, cols, ws)
+
+
+def _read_weights(model: Model, cols: DataFrame, ws: Workspace) -> None:
     words = list(model.vocabulary)
-    feats = staged(cols.mapInArrow(_features(words), "doc_id long, terms array<int>, counts array<int>"), "terms")
+    feats = ws.staged(cols.mapInArrow(_features(words), "doc_id long, terms array<int>, counts array<int>"), "terms")
     n = feats.count()
     df = {r.t: r.n for r in feats.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     model.idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in range(len(words))])
@@ -223,21 +245,29 @@ def _weigh(model: Model, cols: DataFrame) -> None:
     counts: dict = {}
     for r in feats.join(F.broadcast(ids), "doc_id").where(F.size("terms") > 0).toLocalIterator():
         counts[r.doc_id] = Counter(dict(zip(r.terms, r.counts, strict=True)))
-    vectors = [model.vector(counts.get(i, Counter())) for i in model.ids]
-    model.index = BlockMaxIndex(vectors, len(words))
-    none = [i for i, v in enumerate(vectors) if not v]
+    rows = [counts.get(i, Counter()) for i in model.ids]
+    none = [i for i, c in enumerate(rows) if not c]
     w = [model.weights[int(model.labels[i])] for i in none]
     model.base = (sum(x for x, i in zip(w, none, strict=True) if model.labels[i]) + 0.5) / (sum(w) + 1.0)
-    near = [(i, model.index.nearest(v, model.neighbours, skip=i)) for i, v in enumerate(vectors) if v]
+    model.plain = len(none)
 
-    def loss(m: float) -> float:
+    def loss(near: list, m: float) -> float:
         total = 0.0
         for i, found in near:
             p = min(1 - 1e-9, max(1e-9, model.vote(found, m)))
             total -= model.weights[int(model.labels[i])] * math.log(p if model.labels[i] else 1 - p)
         return total
 
-    model.shrink = min((0.05, 0.1, 0.2, 0.5, 1.0, 2.0), key=loss)
+    best = None
+    for rest in (0.5, 1.0, 2.0):
+        model.rest = rest * float(np.median(model.idf))
+        vectors = [model.vector(c) for c in rows]
+        model.index = BlockMaxIndex(vectors, len(words) + 1)
+        near = [(i, model.near(v, skip=i)) for i, v in enumerate(vectors) if v]
+        for m in (0.05, 0.2, 0.5, 1.0, 2.0):
+            if best is None or loss(near, m) < best[0]:
+                best = (loss(near, m), model.rest, m, model.index)
+    _, model.rest, model.shrink, model.index = best
 
 
 SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"
