@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh
+from .tokenizing import forget_encoders
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
@@ -238,6 +239,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
     place = next(i for i, n in enumerate(names) if n.lower() == text_col.lower())
 
     def run(batches):
+        forget_encoders()
         p = Permuter(key)
         for b in batches:
             texts, kinds = [], []

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import mix64
+from .tokenizing import forget_encoders
 
 _rng = np.random.default_rng(20240229)
 BYTE_KEYS = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -38,6 +39,7 @@ def hash_strings(words: pa.Array) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and the number of words of each text."""
+    forget_encoders()
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, offs = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
     offs = offs - offs[0]

@@ -8,6 +8,7 @@ rows. Files of any other kind, and texts with spaces in other arrangements, go t
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -22,6 +23,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIMPLE = re.compile(rf"[ -~\n{LETTERS}]*\Z")
 BYTE_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 WORD_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: Units that are one pre-token.
+BYTE_ONE, WORD_ONE = re.compile(rf" ?[{LETTERS}]+\Z"), re.compile(rf"[{LETTERS}]+\Z")
 UNIT = re.compile(r"\s*\S+|\s+\Z")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -36,7 +39,7 @@ def byte_alphabet() -> str:
 class BatchEncoder:
     """encode(): ids of many texts at once. With starts, the first character of each token too."""
 
-    def __init__(self, path: str, memo: int = 350_000, starts: bool = False):
+    def __init__(self, path: str, memo: int = 400_000, starts: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -53,8 +56,6 @@ class BatchEncoder:
         self.table = {i: alphabet[i] for i in range(256)}
         self.new: dict = {}
         self.old: dict = {}
-        self.new_pre: dict = {}
-        self.old_pre: dict = {}
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -80,40 +81,42 @@ class BatchEncoder:
         ids = array(self.code, [t.id for t in found]).tobytes()
         if not self.starts:
             return ids
+        # starts: the first characters of the tokens as 4-byte integers
         at = np.cumsum([0, *(len(t.value) for t in found[:-1])])[: len(found)]  # each character stands for a byte
         if len(raw) != len(p):
             lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
             at = lead[at]
-        return ids, at.astype("<u4")
+        return ids, at.astype("<u4").tobytes()
 
     def _fill(self, keys: list[str]) -> None:
         """Encodes units that are not remembered."""
         if len(self.new) > self.memo:
             self.old, self.new = self.new, {}
-        if len(self.new_pre) > self.memo:
-            self.old_pre, self.new_pre = self.new_pre, {}
-        pre, old_pre, hard = self.new_pre, self.old_pre, []
-        cut = BYTE_CUT if self.kind == "byte" else WORD_CUT
+        new, old, hard, byte = self.new, self.old, [], self.kind == "byte"
+        cut, one = (BYTE_CUT, BYTE_ONE) if byte else (WORD_CUT, WORD_ONE)
+
+        def pre(p: str):
+            # a pre-token is a unit of its own, so one memory serves both
+            v = new.get(p)
+            if v is None:
+                v = old.get(p)
+                if v is None:
+                    v = self._pre(p)
+                new[p] = v
+            return v
+
         for k in keys:
+            if one.match(k):
+                new[k] = self._pre(k) if byte else pre(k.lower())
+                continue
             if not SIMPLE.match(k):
                 hard.append(k)
                 continue
-            out, at = [], []
-            for m in cut.finditer(k if self.kind == "byte" else k.lower()):
-                p = m[0]
-                v = pre.get(p)
-                if v is None:
-                    v = old_pre.get(p)
-                    if v is None:
-                        v = self._pre(p)
-                    pre[p] = v
-                if self.starts:
-                    out.append(v[0])
-                    at.append(v[1] + np.uint32(m.start()))
-                else:
-                    out.append(v)
-            ids = b"".join(out)
-            self.new[k] = (ids, b"".join(x.astype("<u4").tobytes() for x in at)) if self.starts else ids
+            parts = [(m.start(), pre(m[0])) for m in cut.finditer(k if byte else k.lower())]
+            if self.starts:
+                new[k] = b"".join(v[0] for _, v in parts), b"".join(v[1] if not a else (np.frombuffer(v[1], "<u4") + np.uint32(a)).tobytes() for a, v in parts)
+            else:
+                new[k] = b"".join([v for _, v in parts])
         if hard:
             found = (self.tok.encode_batch if self.starts else self.tok.encode_batch_fast)(hard, add_special_tokens=False)
             for k, e in zip(hard, found, strict=True):
@@ -222,6 +225,13 @@ def encoder(path: str, starts: bool = False) -> BatchEncoder:
     return _encoders[path, starts]
 
 
+def forget_encoders() -> None:
+    """Frees the encoders of a worker process that goes on to other work: workers live as long as their executor."""
+    if _encoders:
+        _encoders.clear()
+        gc.collect()
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Appends an end id to each text's ids."""
     out = np.full(len(ids) + len(counts), end, dtype=np.uint32)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, fresh, plain_strings, slices
 from .shingles import shingle_sets
+from .tokenizing import forget_encoders
 
 WORD = re.compile(r"[^\W_]+")
 #: Most labelled rows of each class that the fit takes, least by a hash of the id.
@@ -193,6 +194,7 @@ def _features(words: list[str]) -> Callable:
     holder = type("Words", (), {})
 
     def run(batches):
+        forget_encoders()
         model = holder()
         model.vocabulary, model.automaton = {w: t for t, w in enumerate(words)}, None
         for batch, texts in slices(batches, "text"):
@@ -275,6 +277,7 @@ SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, simil
 
 def _score(model: Model, evidence: int) -> Callable:
     def run(batches):
+        forget_encoders()
         for batch, texts in slices(batches, "text"):
             found = [model.score(t) for t in texts.to_pylist()]
             why = [[{"doc_id": model.ids[i], "similarity": s, "toxic": int(model.labels[i])} for s, i in near[:evidence]] for _, near in found]
@@ -295,6 +298,7 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col
     probe = fresh(docs.columns, "probe_text")
 
     def run(batches):
+        forget_encoders()
         for batch in batches:
             texts = plain_strings(batch.column(batch.schema.get_field_index(probe)))
             keep = [model.score(t)[0] < threshold for t in texts.to_pylist()]
