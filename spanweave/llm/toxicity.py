@@ -38,6 +38,8 @@ from .tokenizing import forget_encoders
 WORD = re.compile(r"[^\W_]+")
 #: Most labelled rows of each class that the fit takes, least by a hash of the id.
 EXAMPLES = 4000
+#: A word of the vocabulary stands in this many toxic examples at least.
+LEAST_TEXTS = 3
 BLOCK = 64
 
 
@@ -170,24 +172,17 @@ def distinct_examples(rows: list) -> list:
     return out
 
 
-def choose_words(rows: list, least: int = 3) -> list[str]:
-    """Words that toxic rows hold significantly more often than the others."""
-    toxic, clean = Counter(), Counter()
-    n1 = sum(r["toxic"] for r in rows)
-    n0 = len(rows) - n1
-    for r in rows:
-        (toxic if r["toxic"] else clean).update(r["words"])
-    tested = [w for w, a in toxic.items() if a >= least]
-    bar = max(10.0, 2 * math.log(max(1, len(tested))))
+def choose_words(counts: list[tuple[str, int, int]], n1: int, n0: int) -> list[str]:
+    """Words that toxic examples hold significantly more often. counts: word, toxic and other examples that hold it."""
+    bar = max(10.0, 2 * math.log(max(1, len(counts))))
 
-    def ratio(w: str) -> float:
-        a, b = toxic[w], clean[w]
+    def ratio(a: int, b: int) -> float:
         if not n0 or a * n0 <= b * n1:
             return 0.0
         e1, e0 = (a + b) * n1 / (n0 + n1), (a + b) * n0 / (n0 + n1)
         return 2 * (a * math.log(a / e1) + (b * math.log(b / e0) if b else 0.0))
 
-    return sorted(w for w in tested if ratio(w) >= bar)
+    return sorted(w for w, a, b in counts if ratio(a, b) >= bar)
 
 
 def _features(words: list[str]) -> Callable:
@@ -218,26 +213,26 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     for y in (0, 1):
         part = labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.unionByName(part)
-    # at most 2 * examples rows, whatever the size of labels
-    rows = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, low array<long>")
-    rows = distinct_examples(sorted((r.asDict() for r in rows.toLocalIterator()), key=lambda r: (r["doc_id"], r["toxic"], r["words"])))
-    words = choose_words(rows)
-    y = np.array([r["toxic"] for r in rows], np.int64)
-    counted = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
-    weights = tuple(share.get(c, 0) / counted[c] if counted.get(c) else 0.0 for c in (0, 1))
-    model = Model({w: t for t, w in enumerate(words)}, np.ones(len(words)), y, [r["doc_id"] for r in rows], None, weights, (share.get(1, 0) + 0.5) / (sum(share.values()) + 1), 1.0, neighbours)
-    if words:
-        _weigh(model, cols)
+    with Workspace(docs.sparkSession, "toxicity") as ws:
+        # at most 2 * examples rows, whatever the size of labels; of several texts under an id one is taken
+        found = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, low array<long>")
+        found = ws.staged(found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words")).alias("x")).select("doc_id", "toxic", "x.low", "x.words"), "examples")
+        rows = distinct_examples([r.asDict() for r in found.select("doc_id", "toxic", "low").orderBy("doc_id").collect()])
+        ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long")
+        held = found.join(F.broadcast(ids), "doc_id").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+        y = np.array([r["toxic"] for r in rows], np.int64)
+        # the vocabulary of a bounded number of texts
+        words = choose_words([tuple(r) for r in held.where(f"a >= {LEAST_TEXTS}").toLocalIterator()], int(y.sum()), int((1 - y).sum()))
+        counted = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
+        weights = tuple(share.get(c, 0) / counted[c] if counted[c] else 0.0 for c in (0, 1))
+        model = Model({w: t for t, w in enumerate(words)}, np.ones(len(words)), y, [r["doc_id"] for r in rows], None, weights, (share.get(1, 0) + 0.5) / (sum(share.values()) + 1), 1.0, neighbours)
+        if words:
+            _weigh(model, cols, ws)
     return model
 
 
-def _weigh(model: Model, cols: DataFrame) -> None:
+def _weigh(model: Model, cols: DataFrame, ws: Workspace) -> None:
     """Document frequencies over all documents, the examples' vectors, base rate and shrinkage."""
-    with Workspace(cols.sparkSession, "toxicity") as ws:
-        _read_weights(model, cols, ws)
-
-
-def _read_weights(model: Model, cols: DataFrame, ws: Workspace) -> None:
     words = list(model.vocabulary)
     feats = ws.staged(cols.mapInArrow(_features(words), "doc_id long, terms array<int>, counts array<int>"), "terms")
     n = feats.count()
@@ -246,7 +241,8 @@ def _read_weights(model: Model, cols: DataFrame, ws: Workspace) -> None:
     ids = cols.sparkSession.createDataFrame([(i,) for i in sorted(set(model.ids))], "doc_id long")
     counts: dict = {}
     for r in feats.join(F.broadcast(ids), "doc_id").where(F.size("terms") > 0).toLocalIterator():
-        counts[r.doc_id] = Counter(dict(zip(r.terms, r.counts, strict=True)))
+        own = Counter(dict(zip(r.terms, r.counts, strict=True)))
+        counts[r.doc_id] = max(own, counts.get(r.doc_id, own), key=lambda c: sorted(c.items()))
     rows = [counts.get(i, Counter()) for i in model.ids]
     none = [i for i, c in enumerate(rows) if not c]
     w = [model.weights[int(model.labels[i])] for i in none]
