@@ -2,10 +2,12 @@
 
 Validated values are found in the whole text and replaced by others of the same format that are valid too: card
 numbers (Luhn), phone numbers, IPv4 addresses, social security numbers, IBANs (mod 97), calendar dates, the local
-part of e-mail addresses, and secrets (access keys, passwords, tokens). A value is read as a number x below the N of
-its format. P is a keyed balanced Feistel network over the next even number of bits, walked until it falls below N;
-the pseudonym is the value of P^-1(P(x) + 1 mod N). That is a permutation without fixed points, so equal values stay
-equal in all documents, different ones stay different, nothing stays as it was, and the key gives values back.
+part of e-mail addresses, and secrets (access keys, passwords, tokens). Phone numbers that the plan of their country
+rules out, such as '+1 (017) 555-7713', are replaced by others that it rules out; digits behind a number are not part
+of it. A value is read as a number x below the N of its format. P is a keyed balanced Feistel network over the next
+even number of bits, walked until it falls below N; the pseudonym is the value of P^-1(P(x) + 1 mod N), taken again
+while that is of another format. That is a permutation without fixed points, so equal values stay equal in all
+documents, different ones stay different, nothing stays as it was, and the key gives values back.
 
 Defined results: null text stays null, text without values stays as it is; values that overlap are taken from left
 to right, the longer first; rows are treated one by one, so ties and repeats do not matter; an empty table stays
@@ -17,7 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -110,20 +112,36 @@ def card(p: Permuter, m: re.Match, by: int) -> str | None:
     return refill(m[0], new + str(luhn(new)), str.isdigit)
 
 
+def _front(text: str, country: str) -> tuple[int, bool] | None:
+    """Length of the front of a phone match that is the number, and whether it is a valid one of North America. A match
+    takes digit groups behind the number in; it is cut at spaces: at ten digits in North America, else at twelve at most."""
+    fronts = [(n, len(re.sub(r"\D", "", text[len(country) : n]))) for n in [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] == " ")]]
+    american = country in ("", "+1")
+    fit = american and [n for n, k in fronts if k == 10] or [n for n, k in fronts if 6 <= k <= 12]
+    if not fit:
+        return None
+    digits = re.sub(r"\D", "", text[len(country) : fit[0]])
+    return fit[0], american and len(digits) == 10 and digits[0] not in "01" and digits[3] not in "01"
+
+
 def phone(p: Permuter, m: re.Match, by: int) -> str | None:
-    country, rest = m["cc"] or "", m[0][len(m["cc"] or "") :]
-    digits = re.sub(r"\D", "", rest)
-    if country in ("", "+1", "1"):
-        if len(digits) != 10 or digits[0] in "01" or digits[3] in "01":
-            return None
+    """The pseudonym of the front of the match, as long as that front. Numbers that North America's plan rules out, and
+    those of other lengths, are permuted among their own kind over all digits."""
+    country = m["cc"] or ""
+    if (front := _front(m[0], country)) is None:
+        return None
+    shape = m[0][len(country) : front[0]]
+    digits = re.sub(r"\D", "", shape)
+    if front[1]:
         x = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
         x = p.shift("phone", 800 * 800 * 10_000, x, by)
-        new = f"{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}"
-    else:
-        if not 6 <= len(digits) <= 12:
-            return None
-        new = f"{p.shift('phone' + country, 10 ** len(digits), int(digits), by):0{len(digits)}d}"
-    return country + refill(rest, new, str.isdigit)
+        return country + refill(shape, f"{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}", str.isdigit)
+    x, n = int(digits), len(digits)
+    while True:  # the next value that is read as one of the same kind
+        x = p.shift("phone" + country, 10**n, x, by)
+        new = country + refill(shape, f"{x:0{n}d}", str.isdigit)
+        if _front(new, country) == front:
+            return new
 
 
 def ipv4(p: Permuter, m: re.Match, by: int) -> str | None:
@@ -186,6 +204,10 @@ def access_key(p: Permuter, m: re.Match, by: int) -> str | None:
     return m[0][:4] + _by_class(p, "key", m[0][4:], by)
 
 
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: An IPv4 address: no part of a phone number before it.
+ADDRESS = rf"{OCTET}(?:\.{OCTET}){{3}}(?![\w-]|\.\d)"
+
 #: Kinds: pattern, and what gives the pseudonym of a match or None if it is no valid value.
 KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "email": (re.compile(r"(?<![\w.+%-])(?P<local>[A-Za-z0-9_.+%-]*[A-Za-z0-9][A-Za-z0-9_.+%-]*)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email),
@@ -194,7 +216,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), iban),
     "card": (re.compile(r"(?<![\w+-])(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s1>[ -])\d{4}(?P=s1)\d{4}(?P=s1)\d{1,7}|\d{4}(?P<s2>[ -])\d{6}(?P=s2)\d{5})(?![\w-])"), card),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
-    "phone": (re.compile(r"(?<![\w+.-])(?:(?P<cc>\+\d{1,3})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,8}(?:[ .-]\d{2,8}){0,4}|(?:\(\d{3}\) ?|\d{3}(?P<s>[ .-]))\d{3}[ .-]\d{4})(?![\w-])"), phone),
+    "phone": (re.compile(rf"(?<![\w+.-])(?:(?P<cc>\+\d{{1,3}})[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,8}}(?:(?: (?!{ADDRESS})|[.-])\d{{2,8}}){{0,4}}|(?:\(\d{{3}}\) ?|\d{{3}}(?P<s>[ .-]))\d{{3}}[ .-]\d{{4}})(?![\w-])"), phone),
     "ipv4": (re.compile(r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), ipv4),
     "date": (re.compile(r"(?<![\w./-])(?:(?P<y1>\d{4})(?P<sep1>[-/.])(?P<m1>\d{2})(?P=sep1)(?P<d1>\d{2})|(?P<d2>\d{2})(?P<sep2>[-/.])(?P<m2>\d{2})(?P=sep2)(?P<y2>\d{4}))(?![\w-]|[/.]\d)"), date),
 }
@@ -202,16 +224,30 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
 HINT = re.compile(r"[0-9@=:]")
 
 
+def _phones(pattern: re.Pattern, text: str) -> Iterator[tuple[re.Match, int]]:
+    """Phone matches and where their numbers end; the search goes on there, as another number may follow."""
+    at = 0
+    while m := pattern.search(text, at):
+        front = _front(m[0], m["cc"] or "")
+        at = m.start() + (front[0] if front else 1)
+        if front:
+            yield m, at
+
+
 def find(p: Permuter, text: str, by: int = 1) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values of a text, from left to right, without overlaps."""
     if not HINT.search(text):
         return []
     found = []
     for order, (kind, (pattern, f)) in enumerate(KINDS.items()):
-        for m in pattern.finditer(text):
+        if kind == "phone":
+            matches = _phones(pattern, text)
+        else:
+            matches = ((m, m.end()) for m in pattern.finditer(text))
+        for m, end in matches:
             new = f(p, m, by)
             if new is not None:
-                found.append((m.start(), -m.end(), order, kind, new))
+                found.append((m.start(), -end, order, kind, new))
     out, at = [], 0
     for a, b, _, kind, new in sorted(found):
         if a >= at:

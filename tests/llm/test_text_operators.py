@@ -344,3 +344,18 @@ def test_block_max_index_is_exact():
         want = sorted(((-sum(w * v.get(t, 0.0) for t, w in q.items()), i) for i, v in enumerate(vectors)))[:7]
         got = index.nearest(q, 7)
         assert np.allclose([s for s, _ in got], [-s for s, _ in want])
+
+
+def test_pii_hides_phone_numbers_that_fail_the_plan():
+    p = pii.Permuter(b"key")
+    for v in ("+1 (017) 555-7713", "+1 (132) 555-1352", "+1 (826) 155-4081", "(017) 555-7713", "017-555-7713", "+1 555-0123"):
+        text = f"call {v}, or {v}."
+        new, kinds = pii.replace(p, text)
+        assert kinds == ["phone", "phone"] and v not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text) and pii.replace(p, new, -1)[0] == text, v
+    # digits behind a number belong to other values
+    for text, want in (("a +1 (826) 555-4081 190.137.223", ["phone"]), ("+1 (826) 555-4081 190.137.223.7 b", ["phone", "ipv4"]), ("+49 30 1234567 10.11.12.13", ["phone", "ipv4"]), ("+1 (826) 555-4081 +1 (017) 555-7713 212-555-0123", ["phone"] * 3), ("+1 (826) 555-4081 212-555-0123", ["phone"] * 2)):
+        new, kinds = pii.replace(p, text)
+        assert kinds == want and "555-4081" not in new and pii.replace(p, new, -1)[0] == text, text
+    # different numbers stay different, whatever they are read as
+    many = [f"+1 ({a:03d}) {b:03d}-0000" for a in range(0, 1000, 9) for b in range(0, 1000, 50)]
+    assert len({pii.replace(p, v)[0] for v in many}) == len(many) and all(pii.replace(p, v)[0] != v for v in many)
