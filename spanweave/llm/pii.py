@@ -4,7 +4,9 @@ Validated values are found in the whole text and replaced by others of the same
 numbers (Luhn), phone numbers, IPv4 addresses, social security numbers, IBANs (mod 97), calendar dates, the local
 part of e-mail addresses, and secrets (access keys, passwords, tokens). Phone numbers that the plan of their country
 rules out, such as '+1 (017) 555-7713', are replaced by others that it rules out; digits behind a number are not part
-of it. A value is read as a number x below the N of its format. P is a keyed balanced Feistel network over the next
+of it. Dates have the year in front or behind, one or two digits for day and month, and may have a time behind them
+(which stays); slash dates are month/day and others day-month, or the other way where only that is a day. Dates
+with the year in two digits or the month in words are left. A value is read as a number x below the N of its format. P is a keyed balanced Feistel network over the next
 even number of bits, walked until it falls below N; the pseudonym is the value of P^-1(P(x) + 1 mod N), taken again
 while that is of another format. That is a permutation without fixed points, so equal values stay equal in all
 documents, different ones stay different, nothing stays as it was, and the key gives values back.
@@ -172,22 +174,38 @@ def iban(p: Permuter, m: re.Match, by: int) -> str | None:
     return refill(m[0], f"{s[:2]}{check:02d}{new}", lambda c: c != " ")
 
 
+def _day(m: re.Match) -> tuple[datetime.date, bool, tuple] | None:
+    """The day of a date, whether the month stands before the day, and the widths of both. Slash dates are month/day,
+    others day-month; where that is no day, the other order holds."""
+    iso = m["y1"] is not None
+    y, a, b = (m["y1"], m["m1"], m["d1"]) if iso else (m["y2"], m["d2"], m["m2"])
+    first = iso or m["sep2"] == "/"
+    # one digit beside '07' or '11' is another format than one beside any two digits
+    widths = (2, 2) if len(a) == len(b) == 2 else ((len(a), a[0] == "0"), (len(b), b[0] == "0"))
+    for month_first in [first] if iso else [first, not first]:
+        try:
+            day = datetime.date(int(y), *map(int, (a, b) if month_first else (b, a)))
+        except ValueError:
+            continue
+        if FIRST_DAY <= day <= LAST_DAY:
+            return day, month_first, widths
+    return None
+
+
 def date(p: Permuter, m: re.Match, by: int) -> str | None:
-    iso, sep = m["y1"] is not None, m["sep1"] or m["sep2"]
-    y, mo, d = (m["y1"], m["m1"], m["d1"]) if iso else (m["y2"], m["m2"], m["d2"])
-    us = sep == "/" and not iso
-    if us:
-        mo, d = d, mo
-    try:
-        day = datetime.date(int(y), int(mo), int(d))
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if (read := _day(m)) is None:
         return None
-    x = p.shift("date", (LAST_DAY - FIRST_DAY).days + 1, (day - FIRST_DAY).days, by)
-    new = FIRST_DAY + datetime.timedelta(days=x)
-    parts = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"]
-    return sep.join(parts if iso else [parts[1], parts[2], parts[0]] if us else parts[::-1])
+    day, month_first, widths = read
+    iso, sep = m["y1"] is not None, m["sep1"] or m["sep2"]
+    a, b = (m["m1"], m["d1"]) if iso else (m["d2"], m["m2"])
+    while True:  # the next day that is written and read in the same format
+        x = p.shift("date", (LAST_DAY - FIRST_DAY).days + 1, (day - FIRST_DAY).days, by)
+        day = FIRST_DAY + datetime.timedelta(days=x)
+        one, two = (day.month, day.day) if month_first else (day.day, day.month)
+        parts = [f"{one:0{len(a)}d}", f"{two:0{len(b)}d}"]
+        new = sep.join([f"{day.year:04d}", *parts] if iso else [*parts, f"{day.year:04d}"])
+        if (again := DATE.fullmatch(new)) and _day(again) == (day, month_first, widths):
+            return new
 
 
 def email(p: Permuter, m: re.Match, by: int) -> str | None:
@@ -208,6 +226,9 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: An IPv4 address: no part of a phone number before it.
 ADDRESS = rf"{OCTET}(?:\.{OCTET}){{3}}(?![\w-]|\.\d)"
 
+#: A date, with a time behind it at most.
+DATE = re.compile(r"(?<![\w./-])(?:(?P<y1>\d{4})(?P<sep1>[-/.])(?P<m1>\d{1,2})(?P=sep1)(?P<d1>\d{1,2})|(?P<d2>\d{1,2})(?P<sep2>[-/.])(?P<m2>\d{1,2})(?P=sep2)(?P<y2>\d{4}))(?=[Tt]\d{2}(?::?\d{2})?|(?![\w-]|[/.]\d))")
+
 #: Kinds: pattern, and what gives the pseudonym of a match or None if it is no valid value.
 KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "email": (re.compile(r"(?<![\w.+%-])(?P<local>[A-Za-z0-9_.+%-]*[A-Za-z0-9][A-Za-z0-9_.+%-]*)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email),
@@ -218,7 +239,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
     "phone": (re.compile(rf"(?<![\w+.-])(?:(?P<cc>\+\d{{1,3}})[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,8}}(?:(?: (?!{ADDRESS})|[.-])\d{{2,8}}){{0,4}}|(?:\(\d{{3}}\) ?|\d{{3}}(?P<s>[ .-]))\d{{3}}[ .-]\d{{4}})(?![\w-])"), phone),
     "ipv4": (re.compile(r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), ipv4),
-    "date": (re.compile(r"(?<![\w./-])(?:(?P<y1>\d{4})(?P<sep1>[-/.])(?P<m1>\d{2})(?P=sep1)(?P<d1>\d{2})|(?P<d2>\d{2})(?P<sep2>[-/.])(?P<m2>\d{2})(?P=sep2)(?P<y2>\d{4}))(?![\w-]|[/.]\d)"), date),
+    "date": (DATE, date),
 }
 #: What any value holds: a digit, an at sign, or what stands before a secret.
 HINT = re.compile(r"[0-9@=:]")

@@ -359,3 +359,20 @@ def test_pii_hides_phone_numbers_that_fail_the_plan():
     # different numbers stay different, whatever they are read as
     many = [f"+1 ({a:03d}) {b:03d}-0000" for a in range(0, 1000, 9) for b in range(0, 1000, 50)]
     assert len({pii.replace(p, v)[0] for v in many}) == len(many) and all(pii.replace(p, v)[0] != v for v in many)
+
+
+def test_pii_dates_of_every_order_and_width():
+    p = pii.Permuter(b"key")
+    for v in ("25/12/2020", "12/25/2020", "12-25-2020", "12.25.2020", "1/5/2023", "3.4.2020", "31/1/2021", "1/31/2021", "05/3/2023", "2024-2-9", "11/9/1999", "2024-12-9"):
+        text = f"on {v}, or {v}."
+        new, kinds = pii.replace(p, text)
+        assert kinds == ["date", "date"] and v not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text) and pii.replace(p, new, -1)[0] == text, v
+    for v in ("2024-02-29T10:00:00Z", "2024-02-29T10:00:00.123+01:00", "2024-02-29t1000"):
+        new, kinds = pii.replace(p, f"at {v} x")
+        assert kinds == ["date"] and new[13:] == f"{v[10:]} x" and new[3:13] != v[:10] and pii.replace(p, new, -1)[0] == f"at {v} x", v
+    assert pii.replace(p, "2024-02-29T10:00")[0][:10] == pii.replace(p, "2024-02-29")[0]
+    for v in ("31/31/2020", "30/2/2021", "0/5/2023", "2023-29-02", "2024-02-29Tx", "2024-02-29x", "1.2.3.2020"):
+        assert pii.replace(p, v) == (v, []), v
+    days = [f"{a}/{b}/2020" for a in range(1, 32) for b in range(1, 32)]
+    found = [v for v in days if pii.replace(p, v)[1]]
+    assert len({pii.replace(p, v)[0] for v in found}) == len(found) > 366 and all(pii.replace(p, v)[0] != v for v in found)
