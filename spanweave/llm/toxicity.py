@@ -1,18 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit (on a bounded sample of labelled rows, see `examples`): near copies among the examples are dropped, so that one
-text copied often counts once. The vocabulary are the words that toxic examples hold significantly more often
-(log-likelihood ratio above twice the logarithm of the number of words tested). Document frequencies of these words
-are then counted over all documents.
-
-Score: a vector holds the TF-IDF weights of the vocabulary's words and one weight for the rest of the text, so that
-one chance word makes no text a toxic one. The nearest `neighbours` examples by cosine vote with their similarity as
-weight. Examples without any of the words are all equally near; they fill the places that nearer ones leave, with
-their toxic rate as vote (the rate that a text without evidence gets). The votes are shrunk towards that rate; the
-strength, and the weight of the rest, are chosen by leave-one-out log loss, so scores are probabilities. The
+Fit (on a bounded sample of labelled rows, see `examples`): every example is a TF-IDF vector of all its words, with
+document frequencies over all documents. Examples of one label with the same words and counts are one with their number
+as weight, so no example is lost. Words that toxic examples hold significantly more often (log-likelihood ratio above
+twice the logarithm of the number of words tested, near copies within a label counted once) weigh more, by a factor.
+
+Score: the nearest `neighbours` examples by cosine vote with s / (1.001 - s) as weight, s the similarity, so that a
+copy of an example (similarity 1) outweighs what is merely alike. Words that no example holds count in a text's length
+with the mean square of their idf. The votes are shrunk towards the toxic share of the labels; the strength of that and
+the factor are chosen by leave-one-out log loss over at most `TRIALS` examples, so scores are probabilities. The
 neighbours are the evidence.
 
-Defined results: null or wordless text, and text with no word of the vocabulary, gets the base rate and no evidence;
+Defined results: null or wordless text, and text with no word of an example, gets the base rate and no evidence;
 labels that are null or belong to no document are not used, of several labels for a document the highest counts;
 without labels of both kinds the score is the smoothed share of toxic labels; ties between examples go to the
 smaller place in the index; rows with equal ids are scored apart; an empty table gives no rows.
@@ -22,12 +21,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,134 +41,146 @@ EXAMPLES = 4000
 #: A word of the vocabulary stands in this many toxic examples at least.
 LEAST_TEXTS = 3
 BLOCK = 64
+#: Examples left out in turn to choose factor and shrinkage.
+TRIALS = 800
+#: Different words that a task counts before it hands them on.
+WORDS_HELD = 100_000
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all ranges one after another, and the length of each range."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n), n
 
 
 class BlockMaxIndex:
     """Exact nearest examples of sparse unit vectors. Postings lie in blocks of examples; a block's largest weight of
-    each term bounds the similarity of its examples, and blocks are read in the order of their bounds."""
+    each term bounds the similarity of its examples. The best blocks are read first, then those whose bound reaches what
+    was found."""
 
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        self.block, self.count = block, len(vectors)
+    def __init__(self, vectors: list, terms: int, block: int = BLOCK):
+        """vectors: dicts, or pairs of arrays, of terms and weights."""
+        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
+        self.block, self.count, self.blocks = block, len(pairs), -(-len(pairs) // block)
         # similar examples side by side make tight bounds
-        order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=-1), i))
-        self.order = np.array(order, np.int64)
-        blocks = -(-len(vectors) // block)
-        self.bounds = np.zeros((terms, blocks))
-        lists: dict[tuple[int, int], list] = defaultdict(list)
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                lists[t, place // block].append((place % block, w))
-                self.bounds[t, place // block] = max(self.bounds[t, place // block], w)
-        self.lists = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+        order = sorted(range(len(pairs)), key=lambda i: (int(pairs[i][0][np.argmax(pairs[i][1])]) if len(pairs[i][0]) else -1, i))
+        self.order = np.array(order, np.int32)
+        place = np.repeat(np.arange(len(order), dtype=np.int32), [len(pairs[i][0]) for i in order])
+        term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0].astype(np.int32) for i in order)])
+        weight = np.concatenate([np.zeros(0, np.float32), *(pairs[i][1].astype(np.float32) for i in order)])
+        sort = np.argsort(term, kind="stable")
+        term, self.place, self.weight = term[sort], place[sort], weight[sort]
+        # an entry is a term's postings in a block
+        at = self.place // block
+        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(at) != 0)]) if len(term) else np.zeros(0, np.int64)
+        self.entry = np.append(first, len(term)).astype(np.int32)
+        self.entry_block = at[first].astype(np.int32)
+        self.entry_bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.term = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+
+    def nearest(self, query, k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(similarity, example) of the k nearest with a similarity over 0, nearest first. skip: an example to leave out."""
-        if not query or not self.count:
+        terms, weights = (np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))) if isinstance(query, dict) else query
+        if not len(terms) or not self.count:
             return []
-        terms = list(query)
-        weights = np.array([query[t] for t in terms])
-        bound = weights @ self.bounds[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        entries, n = ranges(self.term[terms].astype(np.int64), self.term[terms + 1].astype(np.int64))
+        weights, at = np.repeat(weights, n), self.entry_block[entries]
+        bound = np.bincount(at, weights * self.entry_bound[entries], self.blocks)
+        todo, least = np.zeros(self.blocks, bool), 0.0
+        todo[np.argsort(-bound, kind="stable")[: 2 + k // self.block]] = True
+        done, score = todo.copy(), np.zeros(self.count)
+        while True:
+            use = todo[at]
+            chosen = entries[use]
+            postings, n = ranges(self.entry[chosen].astype(np.int64), self.entry[chosen + 1].astype(np.int64))
+            score += np.bincount(self.place[postings], np.repeat(weights[use], n) * self.weight[postings], self.count)
+            found = np.flatnonzero(score > 0)
+            found = found[self.order[found] != skip]
+            if len(found) > k:
+                least = np.partition(score[found], -k)[-k]
+                found = found[score[found] >= least]
+            elif len(found) == k:
+                least = score[found].min()
+            # float rounding never hides a block
+            todo = ~done & (bound > 0) & (bound >= least - 1e-6)
+            if not todo.any():
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                if (got := self.lists.get((t, b))) is not None:
-                    score[got[0]] += w * got[1]
-            for p in np.flatnonzero(score > 0).tolist():
-                example = int(self.order[b * self.block + p])
-                if example != skip:
-                    best.append((-float(score[p]), example))
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+            done |= todo
+        examples = self.order[found]
+        best = np.lexsort((examples, -score[found]))[:k]
+        return [(min(1.0, float(score[found[j]])), int(examples[j])) for j in best]
 
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
+    vocabulary: list[str]  # words that mark toxicity
+    words: dict[str, int]  # all words of the examples
     idf: np.ndarray
+    unknown: float  # mean square of the idf of other words
     labels: np.ndarray
+    copies: np.ndarray
     ids: list
     index: BlockMaxIndex | None
     weights: tuple[float, float]
     base: float
     shrink: float
     neighbours: int
-    rest: float = 1.0
-    plain: int = 0  # examples without any of the words
-    automaton: object = field(default=None, repr=False)
-
-    def __getstate__(self):
-        return self.__dict__ | {"automaton": None}
-
-    def terms(self, text: str) -> Counter:
-        return count_terms(self, text)
-
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """Unit vector; the last component is the rest of the text. Empty without words of the vocabulary."""
-        if not counts:
-            return {}
-        raw = {t: (1 + math.log(n)) * float(self.idf[t]) for t, n in sorted(counts.items())} | {len(self.vocabulary): self.rest}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
-    def near(self, vector: dict[int, float], skip: int = -1) -> tuple[list[tuple[float, int]], float, int]:
-        """Nearest examples with words, the similarity of those without, and how many of the latter vote."""
-        if not vector or self.index is None:
-            return [], 0.0, 0
-        level = vector[len(self.vocabulary)]
-        found = [x for x in self.index.nearest(vector, self.neighbours, skip) if x[0] >= level]
-        return found, level, min(self.plain, self.neighbours - len(found))
-
-    def vote(self, near: tuple[list[tuple[float, int]], float, int], shrink: float | None = None) -> float:
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, as of a unit vector over all words of the text."""
+        counts = Counter(WORD.findall(text.lower()))
+        terms = np.fromiter((self.words.get(w, -1) for w in counts), np.int64, len(counts))
+        weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+        known = terms >= 0
+        rest = self.unknown * float(np.square(weights[~known]).sum())
+        terms, weights = terms[known], weights[known] * self.idf[terms[known]]
+        return terms, weights / math.sqrt(max(1e-12, float(np.square(weights).sum()) + rest))
+
+    def vote(self, near: list[tuple[float, int]], shrink: float | None = None) -> float:
         m = self.shrink if shrink is None else shrink
-        found, level, many = near
-        weight = [s * self.weights[int(self.labels[i])] for s, i in found]
-        toxic = sum(w for w, (_, i) in zip(weight, found, strict=True) if self.labels[i])
-        return (toxic + (many * level + m) * self.base) / (sum(weight) + many * level + m)
+        weight = [s / (1.001 - min(s, 1.0)) * self.weights[int(self.labels[i])] * float(self.copies[i]) for s, i in near]
+        toxic = sum(w for w, (_, i) in zip(weight, near, strict=True) if self.labels[i])
+        return (toxic + m * self.base) / (sum(weight) + m)
 
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        near = self.near(self.vector(self.terms(text)))
-        return self.vote(near), near[0]
-
-
-def count_terms(model, text: str) -> Counter:
-    """Occurrences of the vocabulary's words as whole words of a lower-cased text."""
-    out: Counter = Counter()
-    if not model.vocabulary:
-        return out
-    if model.automaton is None:
-        import ahocorasick
-
-        model.automaton = ahocorasick.Automaton()
-        for w, t in model.vocabulary.items():
-            model.automaton.add_word(w, (t, len(w)))
-        model.automaton.make_automaton()
-    text = text.lower()
-    for end, (t, n) in model.automaton.iter(text):
-        a, b = end - n, end + 1
-        if (a < 0 or not text[a].isalnum()) and (b >= len(text) or not text[b].isalnum()):
-            out[t] += 1
-    return out
+        near = self.index.nearest(self.vector(text), self.neighbours) if self.index is not None else []
+        return self.vote(near), near
 
 
 def _words(batches):
-    """For examples: their distinct words and the four least of their shingles."""
+    """For examples: their distinct words, the number of each, and the four least of their shingles."""
     for batch, texts in slices(batches, "text"):
         low = [s[:4].view(np.int64).tolist() for s in shingle_sets(texts, 5)]
-        words = [sorted(set(WORD.findall(t.lower()))) for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "low"])
+        counts = [sorted(Counter(WORD.findall(t.lower())).items()) for t in texts.to_pylist()]
+        words, numbers = [[w for w, _ in c] for c in counts], [[n for _, n in c] for c in counts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "counts", "low"])
+
+
+def _frequencies(batches):
+    """Words and the number of rows of a task that hold them; a word may come more than once."""
+    forget_encoders()
+    held: Counter = Counter()
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    for _, texts in slices(batches, "text", 1 << 20):
+        for t in texts.to_pylist():
+            held.update(set(WORD.findall(t.lower())))
+            if len(held) > WORDS_HELD:
+                yield out()
+                held.clear()
+    yield out()
 
 
 def distinct_examples(rows: list) -> list:
-    """Drops rows that share one of their least shingles with a row before."""
-    seen: set = set()
+    """Drops rows that share one of their least shingles with a row of their label before."""
+    seen: dict[int, set] = {0: set(), 1: set()}
     out = []
     for r in rows:
-        if not seen.intersection(r["low"]):
+        if not seen[r["toxic"]].intersection(r["low"]):
             out.append(r)
-        seen.update(r["low"])
+        seen[r["toxic"]].update(r["low"])
     return out
 
 
@@ -185,20 +197,6 @@ def choose_words(counts: list[tuple[str, int, int]], n1: int, n0: int) -> list[s
     return sorted(w for w, a, b in counts if ratio(a, b) >= bar)
 
 
-def _features(words: list[str]) -> Callable:
-    holder = type("Words", (), {})
-
-    def run(batches):
-        forget_encoders()
-        model = holder()
-        model.vocabulary, model.automaton = {w: t for t, w in enumerate(words)}, None
-        for batch, texts in slices(batches, "text"):
-            found = [count_terms(model, t) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "terms", "counts"])
-
-    return run
-
-
 def learn_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5) -> DataFrame:
     """Labels that may be learned from: those whose id's crc32 (as text) is no multiple of `folds`."""
     rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
@@ -213,59 +211,83 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     for y in (0, 1):
         part = labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.unionByName(part)
+    base = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
+    model = Model([], {}, np.zeros(0), 1.0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], None, (1.0, 1.0), base, 1.0, neighbours)
     with Workspace(docs.sparkSession, "toxicity") as ws:
         # at most 2 * examples rows, whatever the size of labels; of several texts under an id one is taken
-        found = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, low array<long>")
-        found = ws.staged(found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words")).alias("x")).select("doc_id", "toxic", "x.low", "x.words"), "examples")
-        rows = distinct_examples([r.asDict() for r in found.select("doc_id", "toxic", "low").orderBy("doc_id").collect()])
+        found = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, counts array<int>, low array<long>")
+        found = ws.staged(found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words", "counts")).alias("x")).select("doc_id", "toxic", "x.low", "x.words", "x.counts"), "examples")
+        every = [r.asDict() for r in found.select("doc_id", "toxic", "low").orderBy("doc_id").collect()]
+        counted = Counter(r["toxic"] for r in every)
+        if not counted[0] or not counted[1]:
+            return model
+        model.weights = tuple(share[c] / counted[c] for c in (0, 1))
+        rows = distinct_examples(every)
         ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long")
         held = found.join(F.broadcast(ids), "doc_id").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        y = np.array([r["toxic"] for r in rows], np.int64)
-        # the vocabulary of a bounded number of texts
-        words = choose_words([tuple(r) for r in held.where(f"a >= {LEAST_TEXTS}").toLocalIterator()], int(y.sum()), int((1 - y).sum()))
-        counted = {0: int((y == 0).sum()), 1: int((y == 1).sum())}
-        weights = tuple(share.get(c, 0) / counted[c] if counted[c] else 0.0 for c in (0, 1))
-        model = Model({w: t for t, w in enumerate(words)}, np.ones(len(words)), y, [r["doc_id"] for r in rows], None, weights, (share.get(1, 0) + 0.5) / (sum(share.values()) + 1), 1.0, neighbours)
-        if words:
-            _weigh(model, cols, ws)
+        n1 = sum(r["toxic"] for r in rows)
+        model.vocabulary = choose_words([tuple(r) for r in held.where(f"a >= {LEAST_TEXTS}").toLocalIterator()], n1, len(rows) - n1)
+        _weigh(model, cols, found, ws)
     return model
 
 
-def _weigh(model: Model, cols: DataFrame, ws: Workspace) -> None:
-    """Document frequencies over all documents, the examples' vectors, base rate and shrinkage."""
-    words = list(model.vocabulary)
-    feats = ws.staged(cols.mapInArrow(_features(words), "doc_id long, terms array<int>, counts array<int>"), "terms")
-    n = feats.count()
-    df = {r.t: r.n for r in feats.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    model.idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in range(len(words))])
-    ids = cols.sparkSession.createDataFrame([(i,) for i in sorted(set(model.ids))], "doc_id long")
-    counts: dict = {}
-    for r in feats.join(F.broadcast(ids), "doc_id").where(F.size("terms") > 0).toLocalIterator():
-        own = Counter(dict(zip(r.terms, r.counts, strict=True)))
-        counts[r.doc_id] = max(own, counts.get(r.doc_id, own), key=lambda c: sorted(c.items()))
-    rows = [counts.get(i, Counter()) for i in model.ids]
-    none = [i for i, c in enumerate(rows) if not c]
-    w = [model.weights[int(model.labels[i])] for i in none]
-    model.base = (sum(x for x, i in zip(w, none, strict=True) if model.labels[i]) + 0.5) / (sum(w) + 1.0)
-    model.plain = len(none)
+def _weigh(model: Model, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
+    """Document frequencies over all documents, the examples' vectors, the factor of the marking words, and shrinkage."""
+    n = cols.count()
+    df = cols.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    own = found.select(F.explode("words").alias("word")).distinct().withColumn("own", F.lit(1))
+    idf = F.log((F.lit(n) + 1) / (F.col("n") + 1)) + 1
+    df = ws.staged(df.join(own, "word", "left").select("word", idf.alias("idf"), "n", "own"), "words")
+    other = df.where("own is null").agg(F.sum(F.col("n") * F.col("idf") * F.col("idf")) / F.sum("n")).first()[0]
+    model.unknown = float(other) if other else (math.log(n + 1) + 1) ** 2
+    known = df.where("own = 1").select("word", "idf").toArrow()
+    order = pc.sort_indices(known["word"])
+    names, plain = known["word"].take(order).combine_chunks(), known["idf"].take(order).to_numpy()
+    model.words = {w: i for i, w in enumerate(names.to_pylist())}
+    # equal examples of a label are one, with their number as weight
+    groups: dict = {}
+    table = found.select("doc_id", "toxic", "words", "counts").orderBy("doc_id").toArrow().combine_chunks()
+    for b in table.to_batches():
+        terms = pc.index_in(b.column(2).flatten(), names).to_numpy(zero_copy_only=False).astype(np.int32)
+        counts = b.column(3).flatten().to_numpy().astype(np.int32)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy())
+        for doc, y, at, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+            t, c = terms[at:to], counts[at:to]
+            groups.setdefault((y, t.tobytes(), c.tobytes()), [doc, y, t, c, 0])[4] += 1
+    rows = list(groups.values())
+    del groups, table
+    model.ids, model.labels, model.copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
+    marks = [model.words[w] for w in model.vocabulary]
+
+    def vectors():
+        for _, _, t, c, _ in rows:
+            w = (1 + np.log(c)) * model.idf[t]
+            yield t.astype(np.int64), w / math.sqrt(max(1e-12, float(np.square(w).sum())))
+
+    # some of each label, dealt evenly
+    trial = [i for y in (0, 1) for own in [np.flatnonzero(model.labels == y)] for i in own[:: max(1, -(-2 * len(own) // TRIALS))].tolist()]
+    share = {y: sum(r[4] for r in rows if r[1] == y) / max(1, sum(rows[i][4] for i in trial if rows[i][1] == y)) for y in (0, 1)}
 
     def loss(near: list, m: float) -> float:
         total = 0.0
         for i, found in near:
+            y = int(model.labels[i])
             p = min(1 - 1e-9, max(1e-9, model.vote(found, m)))
-            total -= model.weights[int(model.labels[i])] * math.log(p if model.labels[i] else 1 - p)
+            total -= share[y] * rows[i][4] * model.weights[y] * math.log(p if y else 1 - p)
         return total
 
     best = None
-    for rest in (0.5, 1.0, 2.0):
-        model.rest = rest * float(np.median(model.idf))
-        vectors = [model.vector(c) for c in rows]
-        model.index = BlockMaxIndex(vectors, len(words) + 1)
-        near = [(i, model.near(v, skip=i)) for i, v in enumerate(vectors) if v]
+    for factor in (1.0, 4.0, 16.0, 64.0) if marks else (1.0,):
+        model.idf = plain.copy()
+        model.idf[marks] *= factor
+        units = list(vectors())
+        model.index = BlockMaxIndex(units, len(names))
+        near = [(i, model.index.nearest(units[i], model.neighbours, skip=i)) for i in trial]
         for m in (0.05, 0.2, 0.5, 1.0, 2.0):
             if best is None or loss(near, m) < best[0]:
-                best = (loss(near, m), model.rest, m, model.index)
-    _, model.rest, model.shrink, model.index = best
+                best = (loss(near, m), factor, m, model.idf, model.index)
+        del units
+    _, _, model.shrink, model.idf, model.index = best
 
 
 SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"

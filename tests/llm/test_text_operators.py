@@ -376,3 +376,21 @@ def test_pii_dates_of_every_order_and_width():
     days = [f"{a}/{b}/2020" for a in range(1, 32) for b in range(1, 32)]
     found = [v for v in days if pii.replace(p, v)[1]]
     assert len({pii.replace(p, v)[0] for v in found}) == len(found) > 366 and all(pii.replace(p, v)[0] != v for v in found)
+
+
+def test_toxicity_finds_copies_without_marking_words(spark):
+    rnd = random.Random(11)
+    invent = lambda k: " ".join("".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(k))
+    rows, marks = toxic_corpus()
+    alone, often, both = f"{prose(rnd, 40)} {invent(6)}", f"{prose(rnd, 20)} {invent(30)}", invent(25)
+    learned = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 5]
+    extra = [(learned[0], alone, 1)] + [(i, often, 1) for i in learned[1:41]] + [(learned[41], both, 0)] + [(i, both, 1) for i in learned[42:142]]
+    # more texts of the same sorts, without label
+    probes = [(5000, alone), (5001, often), (5002, both), (5004, rows[2][1])]
+    df = table(spark, [*rows, *((i, t) for i, t, _ in extra), *probes])
+    model = toxicity.fit(df, toxicity.learn_rows(spark.createDataFrame([*marks, *((i, y) for i, _, y in extra)], "doc_id long, toxic int")))
+    got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
+    for i in (5000, 5001, 5002):
+        assert got[i].score >= 0.5 and any(abs(e.similarity - 1) < 1e-5 and e.toxic for e in got[i].evidence), i
+    assert got[5004].score < 0.5
+    assert sorted(model.copies)[-2:] == [40, 100]
