@@ -37,7 +37,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the texts into sequences of at most 2048 tokens."""
-    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048, specials=True))
 
 
 STAGES = [

@@ -118,12 +118,12 @@ class Packer:
             self._close(0, 1 << (self.tokens.bit_length() - 1))
 
 
-def _pack(path: str, end: int, window: int, pool: int, id_col: str, text_col: str) -> Callable:
+def _pack(path: str, end: int, window: int, pool: int, id_col: str, text_col: str, specials: bool = False) -> Callable:
     def run(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 33
-        enc, packer = encoder(path), Packer(window, pool)
+        enc, packer = encoder(path, specials=specials), Packer(window, pool)
 
         def flush():
             out, packer.out = packer.out, []
@@ -150,7 +150,7 @@ def _pack(path: str, end: int, window: int, pool: int, id_col: str, text_col: st
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, pool: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, pool: int = 512, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """Pieces of all documents: where they lie in their document and in their sequence, and their ids (32-bit, little-endian).
 
     A window must be a power of two. pool: remainders that wait at once; more give the search more to choose from.
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, pool: in
     if window & (window - 1):
         raise ValueError("window must be a power of two")
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(_pack(tokenizer, end, window, pool, "doc_id", "text"), PIECES)
+    return cols.mapInArrow(_pack(tokenizer, end, window, pool, "doc_id", "text", specials), PIECES)
 
 
 def digests(pieces: DataFrame) -> DataFrame:

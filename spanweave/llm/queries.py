@@ -12,7 +12,7 @@ from .common import table
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048))
+    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 2048, specials=True))
 
 
 #: A fixed key for the registered query; a real run takes a secret one.
@@ -46,12 +46,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_store.store_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), 2).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_store.store_digest(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, specials=True).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.section_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), specials=True)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

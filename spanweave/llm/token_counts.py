@@ -52,9 +52,9 @@ def assign(starts: np.ndarray, ends: np.ndarray, borders: np.ndarray, rule: str)
     return out, cross
 
 
-def _count(path: str, separator: str, rule: str) -> Callable:
+def _count(path: str, separator: str, rule: str, specials: bool = False) -> Callable:
     def run(batches):
-        enc = encoder(path, starts=True)
+        enc = encoder(path, starts=True, specials=specials)
         for batch, texts in slices(batches, "text"):
             _, counts, at = enc.encode(texts)
             docs, strings = batch.column(batch.schema.get_field_index("doc_id")), texts.to_pylist()
@@ -82,12 +82,12 @@ def _count(path: str, separator: str, rule: str) -> Callable:
     return run
 
 
-def section_tokens(docs: DataFrame, tokenizer: str, separator: str = "\n", rule: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def section_tokens(docs: DataFrame, tokenizer: str, separator: str = "\n", rule: str = "first", id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> DataFrame:
     """A row for each section of each document: its characters, its tokens, and how many of these reach into a later section."""
     if rule not in ("first", "most"):
         raise ValueError("rule must be first or most")
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(_count(tokenizer, separator, rule), COUNTS)
+    return cols.mapInArrow(_count(tokenizer, separator, rule, specials), COUNTS)
 
 
 def field_tokens(rows: DataFrame, tokenizer: str, fields: list[str], joiner: str = "\n", rule: str = "first", id_col: str = "doc_id") -> DataFrame:

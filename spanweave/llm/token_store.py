@@ -67,12 +67,12 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _encode(path: str, end: int, id_col: str, text_col: str) -> Callable:
+def _encode(path: str, end: int, id_col: str, text_col: str, specials: bool = False) -> Callable:
     def run(batches):
         from pyspark import TaskContext
 
         part, serial, seen = TaskContext.get().partitionId(), 0, set()
-        enc = encoder(path)
+        enc = encoder(path, specials=specials)
         for batch, texts in slices(batches, text_col):
             ids, counts, _ = enc.encode(texts)
             ids, counts = with_end(ids, counts, end)
@@ -115,11 +115,11 @@ def _roots(batches):
         yield b.append_column("root", pa.array([merkle(x or []) for x in b.column(at).to_pylist()], pa.binary()))
 
 
-def write_store(docs: DataFrame, root: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_store(docs: DataFrame, root: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> None:
     """Encodes docs and writes the store below root."""
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = cols.mapInArrow(_encode(tokenizer, end, "doc_id", "text"), OBJECTS)
+    rows = cols.mapInArrow(_encode(tokenizer, end, "doc_id", "text", specials), OBJECTS)
     once = rows.groupBy("kind", "key").agg(*(F.first(c).alias(c) for c in ("n", "payload", "doc_id", "digests", "counts")))
     once.write.partitionBy("kind").parquet(f"{root}/objects")
     release_shuffles(spark)
@@ -253,9 +253,9 @@ def verify(spark: SparkSession, root: str) -> bool:
     return bad == 0 and read_back(spark, root).where("not whole").isEmpty()
 
 
-def store_digest(docs: DataFrame, tokenizer: str, end: int, root: str | None = None) -> DataFrame:
+def store_digest(docs: DataFrame, tokenizer: str, end: int, root: str | None = None, specials: bool = False) -> DataFrame:
     """Writes docs to a store and returns what is read back from its files."""
     spark = docs.sparkSession
     root = root or scratch_path(spark, "token-store")
-    write_store(docs, root, tokenizer, end)
+    write_store(docs, root, tokenizer, end, specials=specials)
     return read_back(spark, root)

@@ -3,7 +3,8 @@
 The two public byte-pair files cut a text into pre-tokens that never cross from a non-space to a space. So a text
 may be cut before a space that follows a non-space, each different unit is encoded once by the library, and the
 ids are gathered with numpy. Units are remembered in two generations of bounded size: forgetting costs time, never
-rows. Files of any other kind, and texts with spaces in other arrangements, go to the library whole.
+rows. Files of any other kind, texts with spaces in other arrangements, and, with `specials`, texts that hold an added
+token such as <|endoftext|>, go to the library whole. Without `specials` such a text is encoded as ordinary characters.
 """
 
 from __future__ import annotations
@@ -39,13 +40,18 @@ def byte_alphabet() -> str:
 class BatchEncoder:
     """encode(): ids of many texts at once. With starts, the first character of each token too."""
 
-    def __init__(self, path: str, memo: int = 400_000, starts: bool = False):
+    def __init__(self, path: str, memo: int = 400_000, starts: bool = False, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # the library reads added tokens in a text unless told otherwise
+        self.tok.encode_special_tokens = not specials
         spec = json.loads(self.tok.to_str())
         self.kind = self._kind(spec)
+        contents = [re.escape(t["content"]) for t in spec["added_tokens"] if t["content"]] if specials else []
+        #: Texts with an added token, in any case as normalisers may change it.
+        self.added = "|".join(contents)
+        self.holds_added = re.compile(self.added, re.IGNORECASE) if contents else None
         self.starts, self.memo = starts, memo
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         alphabet = byte_alphabet()
@@ -143,7 +149,7 @@ class BatchEncoder:
 
     def _one(self, text: str):
         """One text: (ids, starts)."""
-        if self.kind == "whole" or SEPARATORS.search(text):
+        if self.kind == "whole" or SEPARATORS.search(text) or self.holds_added and self.holds_added.search(text):
             e = self.tok.encode(text, add_special_tokens=False)
             return np.array(e.ids, dtype=self.dtype), np.array([o[0] for o in e.offsets], dtype=np.int64)
         units = UNIT.findall(text)
@@ -175,12 +181,14 @@ class BatchEncoder:
         else:
             keys = words
         bad = np.zeros(len(texts), bool)
+        if self.holds_added:
+            bad |= pc.match_substring_regex(texts, self.added, ignore_case=True).to_numpy(zero_copy_only=False)
         if self.kind == "byte":
             loose = np.fromiter((not k or k[-1].isspace() for k in keys), bool, len(keys))
             if loose.any():
                 mark = loose[idx]
                 mark[last] = False
-                bad = np.add.reduceat(mark.astype(np.int64), first) > 0
+                bad |= np.add.reduceat(mark.astype(np.int64), first) > 0
         got = self._units(keys)
         bits = self.dtype.itemsize
         if self.starts:
@@ -218,11 +226,12 @@ class BatchEncoder:
 _encoders: dict = {}
 
 
-def encoder(path: str, starts: bool = False) -> BatchEncoder:
+def encoder(path: str, starts: bool = False, specials: bool = False) -> BatchEncoder:
     """One encoder for each file and worker process."""
-    if (path, starts) not in _encoders:
-        _encoders[path, starts] = BatchEncoder(path, starts=starts)
-    return _encoders[path, starts]
+    key = path, starts, specials
+    if key not in _encoders:
+        _encoders[key] = BatchEncoder(path, starts=starts, specials=specials)
+    return _encoders[key]
 
 
 def forget_encoders() -> None:

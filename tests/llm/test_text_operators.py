@@ -394,3 +394,29 @@ def test_toxicity_finds_copies_without_marking_words(spark):
         assert got[i].score >= 0.5 and any(abs(e.similarity - 1) < 1e-5 and e.toxic for e in got[i].evidence), i
     assert got[5004].score < 0.5
     assert sorted(model.copies)[-2:] == [40, 100]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+@pytest.mark.parametrize("starts", [False, True])
+def test_encoder_equals_library_by_default(path, starts):
+    marks = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|ENDOFTEXT|> a", "a<|endoftext|>\n<|endoftext|>  b", "<|endof text|>"]
+    texts = ODD + marks + [t or "" for _, t in corpus()]
+    tok, enc = Tokenizer.from_file(path), BatchEncoder(path, starts=starts, specials=True)
+    for pick in (texts, texts[1::2]):
+        ids, counts, at = enc.encode(pa.array(pick))
+        for t, n, e in zip(tok.encode_batch(pick, add_special_tokens=False), counts, np.cumsum(counts), strict=True):
+            assert ids[e - n : e].tolist() == t.ids
+            if starts:
+                assert at[e - n : e].tolist() == [o[0] for o in t.offsets]
+
+
+def test_registered_queries_read_special_tokens(spark, tmp_path):
+    from spanweave.llm import queries
+
+    text = "a <|endoftext|> b"
+    table(spark, [(1, text), (2, "plain words")]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    n = {p: len(Tokenizer.from_file(p).encode(text, add_special_tokens=False).ids) for p in (BYTE, WORD)}
+    assert n[BYTE] == 4
+    assert {r.doc_tokens for r in queries.op1_packing(spark, str(tmp_path)).collect() if r.doc_id == 1} == {n[WORD] + 1}
+    assert {r.doc_id: (r.start, r.n_tokens) for r in queries.op7_token_store(spark, str(tmp_path)).collect()}[2][0] == n[BYTE] + 1
+    assert {r.doc_tokens for r in queries.op8_token_counts(spark, str(tmp_path)).collect() if r.doc_id == 1} == {n[BYTE]}
