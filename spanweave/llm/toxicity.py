@@ -9,19 +9,18 @@ Score: the nearest `neighbours` examples by cosine vote with s / (1.001 - s) as
 copy of an example (similarity 1) outweighs what is merely alike. Words that no example holds count in a text's length
 with the mean square of their idf. The votes are shrunk towards the toxic share of the labels; the strength of that and
 the factor are chosen by leave-one-out log loss over at most `TRIALS` examples, so scores are probabilities. The
-neighbours are the evidence.
+neighbours are the evidence. Similarities are rounded to six places, so a score does not depend on how rows are batched.
 
 Defined results: null or wordless text, and text with no word of an example, gets the base rate and no evidence;
 labels that are null or belong to no document are not used, of several labels for a document the highest counts;
 without labels of both kinds the score is the smoothed share of toxic labels; ties between examples go to the
-smaller place in the index; rows with equal ids are scored apart; an empty table gives no rows.
+smaller place among the examples (by doc_id); rows with equal ids are scored apart; a null doc_id stays null; texts of
+any length are read whole; an empty table gives no rows; further columns are ignored, or kept by remove_toxic.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,20 +30,39 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, plain_strings, slices
+from .common import Workspace, fresh, list_array, slices
 from .shingles import shingle_sets
 from .tokenizing import forget_encoders
 
-WORD = re.compile(r"[^\W_]+")
+#: What stands between words (which are lower-cased).
+SEPARATOR = r"[^\p{L}\p{N}]+"
 #: Most labelled rows of each class that the fit takes, least by a hash of the id.
 EXAMPLES = 4000
 #: A word of the vocabulary stands in this many toxic examples at least.
 LEAST_TEXTS = 3
-BLOCK = 64
+#: Examples of a block, and the words whose lists are read by blocks.
+BLOCK, COMMON = 64, 512
+#: Texts that the index searches at once.
+QUERIES = 256
 #: Examples left out in turn to choose factor and shrinkage.
 TRIALS = 800
+FACTORS, SHRINKS = (1.0, 2.0, 4.0, 8.0, 16.0), (0.05, 0.2, 0.5, 1.0, 2.0)
 #: Different words that a task counts before it hands them on.
-WORDS_HELD = 100_000
+WORDS_HELD = 200_000
+#: Bytes of text that are cut into words at once.
+TEXT_BYTES = 2 << 20
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of all texts; for each text and word of it (in the order of texts) the text, the word, and how often it stands there."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(texts), SEPARATOR)
+    coded = parts.flatten().dictionary_encode()
+    names, at = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    full = pc.greater(pc.binary_length(names), 0).to_numpy(zero_copy_only=False)[at] if len(at) else np.zeros(0, bool)
+    key, number = np.unique(row[full] * len(names) + at[full], return_counts=True)
+    row, word = np.divmod(key, max(1, len(names)))
+    return names, row, word, number
 
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,147 +72,171 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class BlockMaxIndex:
-    """Exact nearest examples of sparse unit vectors. Postings lie in blocks of examples; a block's largest weight of
-    each term bounds the similarity of its examples. The best blocks are read first, then those whose bound reaches what
-    was found."""
-
-    def __init__(self, vectors: list, terms: int, block: int = BLOCK):
-        """vectors: dicts, or pairs of arrays, of terms and weights."""
-        pairs = [(np.fromiter(v, np.int64, len(v)), np.fromiter(v.values(), float, len(v))) if isinstance(v, dict) else v for v in vectors]
-        self.block, self.count, self.blocks = block, len(pairs), -(-len(pairs) // block)
-        # similar examples side by side make tight bounds
-        order = sorted(range(len(pairs)), key=lambda i: (int(pairs[i][0][np.argmax(pairs[i][1])]) if len(pairs[i][0]) else -1, i))
-        self.order = np.array(order, np.int32)
-        place = np.repeat(np.arange(len(order), dtype=np.int32), [len(pairs[i][0]) for i in order])
-        term = np.concatenate([np.zeros(0, np.int32), *(pairs[i][0].astype(np.int32) for i in order)])
-        weight = np.concatenate([np.zeros(0, np.float32), *(pairs[i][1].astype(np.float32) for i in order)])
-        sort = np.argsort(term, kind="stable")
-        term, self.place, self.weight = term[sort], place[sort], weight[sort]
-        # an entry is a term's postings in a block
-        at = self.place // block
-        first = np.flatnonzero(np.r_[True, (np.diff(term) != 0) | (np.diff(at) != 0)]) if len(term) else np.zeros(0, np.int64)
-        self.entry = np.append(first, len(term)).astype(np.int32)
-        self.entry_block = at[first].astype(np.int32)
-        self.entry_bound = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.term = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
-
-    def nearest(self, query, k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """(similarity, example) of the k nearest with a similarity over 0, nearest first. skip: an example to leave out."""
-        terms, weights = (np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))) if isinstance(query, dict) else query
-        if not len(terms) or not self.count:
-            return []
-        entries, n = ranges(self.term[terms].astype(np.int64), self.term[terms + 1].astype(np.int64))
-        weights, at = np.repeat(weights, n), self.entry_block[entries]
-        bound = np.bincount(at, weights * self.entry_bound[entries], self.blocks)
-        todo, least = np.zeros(self.blocks, bool), 0.0
-        todo[np.argsort(-bound, kind="stable")[: 2 + k // self.block]] = True
-        done, score = todo.copy(), np.zeros(self.count)
-        while True:
-            use = todo[at]
-            chosen = entries[use]
-            postings, n = ranges(self.entry[chosen].astype(np.int64), self.entry[chosen + 1].astype(np.int64))
-            score += np.bincount(self.place[postings], np.repeat(weights[use], n) * self.weight[postings], self.count)
-            found = np.flatnonzero(score > 0)
-            found = found[self.order[found] != skip]
-            if len(found) > k:
-                least = np.partition(score[found], -k)[-k]
-                found = found[score[found] >= least]
-            elif len(found) == k:
-                least = score[found].min()
-            # float rounding never hides a block
-            todo = ~done & (bound > 0) & (bound >= least - 1e-6)
-            if not todo.any():
-                break
+    """Exact nearest examples of sparse unit vectors.
+
+    The lists of rare words are read whole. Those of the most common words lie in blocks of examples; a block's largest
+    weight of each of these words bounds what they add to its examples. The blocks with the best bounds are read first,
+    then those whose bound reaches the kth best found.
+    """
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, count: int, terms: int, block: int = BLOCK, common: int = COMMON):
+        """row, term, weight: the entries of the examples' vectors in the order of rows; count: of examples."""
+        self.count, self.block = count, block
+        often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:common]
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[often] = np.arange(len(often))
+        slot = self.slot[term]
+        dense = slot >= 0
+        # examples of one language and length side by side make tight bounds
+        lead = np.full(count, -1)
+        heavy = np.flatnonzero(dense)
+        heavy = heavy[np.lexsort((weight[heavy], row[heavy]))]
+        lead[row[heavy]] = slot[heavy]  # the last one written is the heaviest
+        self.order = np.lexsort((np.bincount(row, minlength=count), lead)).astype(np.int32)
+        self.place = np.empty(count, np.int32)
+        self.place[self.order] = np.arange(count)
+        self.dense = np.zeros((count, len(often)), np.float32)
+        self.dense[self.place[row[dense]], slot[dense]] = weight[dense]
+        self.first = np.arange(0, count, block)
+        self.most = np.maximum.reduceat(self.dense, self.first, axis=0) if count else self.dense
+        rare = np.flatnonzero(~dense)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.start = np.searchsorted(term[rare], np.arange(terms + 1)).astype(np.int64)
+        self.at, self.weight = self.place[row[rare]], weight[rare].astype(np.float32)
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and examples (n x k) of the k nearest, nearest first; a similarity of 0 stands for no example.
+
+        row, term, weight: entries of the n query vectors in the order of rows. skip: an example that each query leaves out.
+        """
+        parts = [(np.zeros((0, k)), np.zeros((0, k), np.int64))]
+        for a in range(0, n, QUERIES):
+            i, j = np.searchsorted(row, [a, a + QUERIES])
+            parts.append(self._batch(row[i:j] - a, term[i:j], weight[i:j], min(QUERIES, n - a), k, None if skip is None else skip[a : a + QUERIES]))
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _batch(self, row, term, weight, n: int, k: int, skip) -> tuple[np.ndarray, np.ndarray]:
+        slot = self.slot[term]
+        rare = slot < 0
+        query = np.zeros((n, self.dense.shape[1]), np.float32)
+        query[row[~rare], slot[~rare]] = weight[~rare]
+        postings, many = ranges(self.start[term[rare]], self.start[term[rare] + 1])
+        score = np.bincount(np.repeat(row[rare] * self.count, many) + self.at[postings], np.repeat(weight[rare], many) * self.weight[postings], n * self.count)
+        score = score.astype(np.float32).reshape(n, self.count)
+        if skip is not None:
+            score[np.arange(n), self.place[skip]] = -1e9
+        bound = np.maximum.reduceat(score, self.first, axis=1) + query @ self.most.T
+        done = np.zeros(bound.shape, bool)
+        todo = done.copy()
+        np.put_along_axis(todo, np.argsort(-bound, axis=1, kind="stable")[:, : 1 + -(-k // self.block)], True, axis=1)
+        for _ in range(2):
+            for b in np.flatnonzero(todo.any(axis=0)):
+                who, a = np.flatnonzero(todo[:, b]), b * self.block
+                score[who, a : a + self.block] += query[who] @ self.dense[a : a + self.block].T
             done |= todo
-        examples = self.order[found]
-        best = np.lexsort((examples, -score[found]))[:k]
-        return [(min(1.0, float(score[found[j]])), int(examples[j])) for j in best]
+            held = np.where(np.repeat(done, self.block, axis=1)[:, : self.count], score, -1e9)
+            least = np.partition(held, max(0, self.count - k), axis=1)[:, max(0, self.count - k)]
+            # rounding never hides a block
+            todo = ~done & (bound + 1e-5 >= least[:, None]) & (bound > 0)
+        # by similarity to six places, then by example
+        held = np.where(held > 0, np.rint(held * 1e6), 0).astype(np.int64) * (self.count + 1) + (self.count - self.order)
+        top = np.argpartition(-held, min(k, self.count) - 1, axis=1)[:, :k]
+        best = -np.sort(-np.take_along_axis(held, top, axis=1), axis=1)
+        out = np.zeros((n, k)), np.zeros((n, k), np.int64)
+        near, example = np.divmod(best, self.count + 1)
+        out[0][:, : near.shape[1]], out[1][:, : near.shape[1]] = np.minimum(near / 1e6, 1.0), self.count - example
+        return out
 
 
 @dataclass
 class Model:
     vocabulary: list[str]  # words that mark toxicity
-    words: dict[str, int]  # all words of the examples
+    words: pa.Array  # all words of the examples
     idf: np.ndarray
     unknown: float  # mean square of the idf of other words
     labels: np.ndarray
     copies: np.ndarray
-    ids: list
+    ids: np.ndarray
     index: BlockMaxIndex | None
     weights: tuple[float, float]
     base: float
     shrink: float
     neighbours: int
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights, as of a unit vector over all words of the text."""
-        counts = Counter(WORD.findall(text.lower()))
-        terms = np.fromiter((self.words.get(w, -1) for w in counts), np.int64, len(counts))
-        weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
-        known = terms >= 0
-        rest = self.unknown * float(np.square(weights[~known]).sum())
-        terms, weights = terms[known], weights[known] * self.idf[terms[known]]
-        return terms, weights / math.sqrt(max(1e-12, float(np.square(weights).sum()) + rest))
-
-    def vote(self, near: list[tuple[float, int]], shrink: float | None = None) -> float:
-        m = self.shrink if shrink is None else shrink
-        weight = [s / (1.001 - min(s, 1.0)) * self.weights[int(self.labels[i])] * float(self.copies[i]) for s, i in near]
-        toxic = sum(w for w, (_, i) in zip(weight, near, strict=True) if self.labels[i])
-        return (toxic + m * self.base) / (sum(weight) + m)
-
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.vector(text), self.neighbours) if self.index is not None else []
-        return self.vote(near), near
+    def vectors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Entries (text, term, weight) of the known words, as of unit vectors over all words of each text."""
+        names, row, word, number = words_of(texts)
+        term = pc.fill_null(pc.index_in(names, value_set=self.words), -1).to_numpy(zero_copy_only=False)[word]
+        weight, known = 1 + np.log(number), term >= 0
+        rest = np.bincount(row[~known], self.unknown * np.square(weight[~known]), len(texts))
+        row, term = row[known], term[known]
+        weight = weight[known] * self.idf[term]
+        length = np.sqrt(np.maximum(1e-12, np.bincount(row, np.square(weight), len(texts)) + rest))
+        return row, term, weight / length[row]
+
+    def vote(self, near: np.ndarray, examples: np.ndarray, shrink: float | None = None) -> np.ndarray:
+        """The scores of texts with these similarities and examples (a row for each text)."""
+        m, label = self.shrink if shrink is None else shrink, self.labels[examples]
+        weight = near / (1.001 - near) * np.asarray(self.weights)[label] * self.copies[examples]
+        return ((weight * label).sum(axis=1) + m * self.base) / (weight.sum(axis=1) + m)
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and similarities and examples of the neighbours."""
+        if self.index is None:
+            none = np.zeros((len(texts), self.neighbours))
+            return np.full(len(texts), self.base), none, none.astype(np.int64)
+        near, examples = self.index.nearest(*self.vectors(texts), len(texts), self.neighbours)
+        return self.vote(near, examples), near, examples
 
 
 def _words(batches):
     """For examples: their distinct words, the number of each, and the four least of their shingles."""
     for batch, texts in slices(batches, "text"):
         low = [s[:4].view(np.int64).tolist() for s in shingle_sets(texts, 5)]
-        counts = [sorted(Counter(WORD.findall(t.lower())).items()) for t in texts.to_pylist()]
-        words, numbers = [[w for w, _ in c] for c in counts], [[n for _, n in c] for c in counts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.string())), pa.array(numbers, pa.list_(pa.int32())), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "counts", "low"])
+        names, row, word, number = words_of(texts)
+        many = np.bincount(row, minlength=len(texts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(names.take(pa.array(word)), many), list_array(pa.array(number.astype(np.int32)), many), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "counts", "low"])
 
 
 def _frequencies(batches):
     """Words and the number of rows of a task that hold them; a word may come more than once."""
     forget_encoders()
-    held: Counter = Counter()
+    held = None
 
-    def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+    def merged(t: pa.Table) -> pa.Table:
+        return t.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"]).select(["word", "n"])
 
-    for _, texts in slices(batches, "text", 1 << 20):
-        for t in texts.to_pylist():
-            held.update(set(WORD.findall(t.lower())))
-            if len(held) > WORDS_HELD:
-                yield out()
-                held.clear()
-    yield out()
+    for _, texts in slices(batches, "text", TEXT_BYTES):
+        names, _, word, _ = words_of(texts)
+        n = np.bincount(word, minlength=len(names))
+        t = pa.table({"word": names, "n": n.astype(np.int64)}).filter(pa.array(n > 0))
+        held = t if held is None else merged(pa.concat_tables([held, t]))
+        if held.num_rows > WORDS_HELD:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
 
 
-def distinct_examples(rows: list) -> list:
-    """Drops rows that share one of their least shingles with a row of their label before."""
+def distinct_examples(labels: list, low: list) -> np.ndarray:
+    """Which examples share none of their least shingles with an example of their label before."""
     seen: dict[int, set] = {0: set(), 1: set()}
-    out = []
-    for r in rows:
-        if not seen[r["toxic"]].intersection(r["low"]):
-            out.append(r)
-        seen[r["toxic"]].update(r["low"])
+    out = np.zeros(len(labels), bool)
+    for i, (y, s) in enumerate(zip(labels, low, strict=True)):
+        out[i] = not seen[y].intersection(s)
+        seen[y].update(s)
     return out
 
 
-def choose_words(counts: list[tuple[str, int, int]], n1: int, n0: int) -> list[str]:
-    """Words that toxic examples hold significantly more often. counts: word, toxic and other examples that hold it."""
-    bar = max(10.0, 2 * math.log(max(1, len(counts))))
-
-    def ratio(a: int, b: int) -> float:
-        if not n0 or a * n0 <= b * n1:
-            return 0.0
-        e1, e0 = (a + b) * n1 / (n0 + n1), (a + b) * n0 / (n0 + n1)
-        return 2 * (a * math.log(a / e1) + (b * math.log(b / e0) if b else 0.0))
-
-    return sorted(w for w, a, b in counts if ratio(a, b) >= bar)
+def choose_words(toxic: np.ndarray, other: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Words that toxic examples hold significantly more often. toxic, other: for each word the examples that hold it."""
+    tested = np.flatnonzero(toxic >= LEAST_TEXTS)
+    a, b = toxic[tested].astype(float), other[tested].astype(float)
+    if not n0 or not len(tested):
+        return tested[:0]
+    e1, e0 = (a + b) * n1 / (n0 + n1), (a + b) * n0 / (n0 + n1)
+    ratio = 2 * (a * np.log(a / e1) + b * np.log(np.where(b > 0, b, 1) / np.where(b > 0, e0, 1)))
+    return tested[(a * n0 > b * n1) & (ratio >= max(10.0, 2 * math.log(len(tested))))]
 
 
 def learn_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", folds: int = 5) -> DataFrame:
@@ -211,83 +253,74 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     for y in (0, 1):
         part = labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.unionByName(part)
-    base = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1)
-    model = Model([], {}, np.zeros(0), 1.0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], None, (1.0, 1.0), base, 1.0, neighbours)
+    base, no = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1), np.zeros(0, np.int64)
+    model = Model([], pa.array([], pa.string()), np.zeros(0), 1.0, no, no, no, None, (1.0, 1.0), base, 1.0, neighbours)
     with Workspace(docs.sparkSession, "toxicity") as ws:
         # at most 2 * examples rows, whatever the size of labels; of several texts under an id one is taken
         found = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, counts array<int>, low array<long>")
         found = ws.staged(found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words", "counts")).alias("x")).select("doc_id", "toxic", "x.low", "x.words", "x.counts"), "examples")
-        every = [r.asDict() for r in found.select("doc_id", "toxic", "low").orderBy("doc_id").collect()]
-        counted = Counter(r["toxic"] for r in every)
-        if not counted[0] or not counted[1]:
+        rows = found.orderBy("doc_id").toArrow().combine_chunks()
+        if rows.column("toxic").value_counts().__len__() < 2:
             return model
-        model.weights = tuple(share[c] / counted[c] for c in (0, 1))
-        rows = distinct_examples(every)
-        ids = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long")
-        held = found.join(F.broadcast(ids), "doc_id").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        n1 = sum(r["toxic"] for r in rows)
-        model.vocabulary = choose_words([tuple(r) for r in held.where(f"a >= {LEAST_TEXTS}").toLocalIterator()], n1, len(rows) - n1)
-        _weigh(model, cols, found, ws)
+        _learn(model, rows, share, cols, found, ws)
     return model
 
 
-def _weigh(model: Model, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
+def _learn(model: Model, rows: pa.Table, share: dict, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
     """Document frequencies over all documents, the examples' vectors, the factor of the marking words, and shrinkage."""
+    label, ids = rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy()
+    model.weights = tuple(share[c] / int((label == c).sum()) for c in (0, 1))
+    words, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
+    many = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = words.flatten().dictionary_encode()
+    row, term, number = np.repeat(np.arange(len(label)), many), coded.indices.to_numpy().astype(np.int64), counts.flatten().to_numpy()
+    model.words, terms = coded.dictionary, len(coded.dictionary)
+    alone = distinct_examples(label.tolist(), rows.column("low").to_pylist())
+    held = [np.bincount(term[(alone & (label == y))[row]], minlength=terms) for y in (0, 1)]
+    marks = choose_words(held[1], held[0], int((alone & (label == 1)).sum()), int((alone & (label == 0)).sum()))
+    model.vocabulary = sorted(model.words.take(pa.array(marks)).to_pylist())
+    # document frequencies; the examples' words come to the driver
     n = cols.count()
     df = cols.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     own = found.select(F.explode("words").alias("word")).distinct().withColumn("own", F.lit(1))
-    idf = F.log((F.lit(n) + 1) / (F.col("n") + 1)) + 1
-    df = ws.staged(df.join(own, "word", "left").select("word", idf.alias("idf"), "n", "own"), "words")
+    df = ws.staged(df.join(own, "word", "left").select("word", (F.log((F.lit(n) + 1) / (F.col("n") + 1)) + 1).alias("idf"), "n", "own"), "words")
     other = df.where("own is null").agg(F.sum(F.col("n") * F.col("idf") * F.col("idf")) / F.sum("n")).first()[0]
     model.unknown = float(other) if other else (math.log(n + 1) + 1) ** 2
     known = df.where("own = 1").select("word", "idf").toArrow()
-    order = pc.sort_indices(known["word"])
-    names, plain = known["word"].take(order).combine_chunks(), known["idf"].take(order).to_numpy()
-    model.words = {w: i for i, w in enumerate(names.to_pylist())}
+    plain = np.full(terms, math.log(n + 1) + 1)
+    plain[pc.index_in(known["word"], value_set=model.words).to_numpy()] = known["idf"].to_numpy()
     # equal examples of a label are one, with their number as weight
-    groups: dict = {}
-    table = found.select("doc_id", "toxic", "words", "counts").orderBy("doc_id").toArrow().combine_chunks()
-    for b in table.to_batches():
-        terms = pc.index_in(b.column(2).flatten(), names).to_numpy(zero_copy_only=False).astype(np.int32)
-        counts = b.column(3).flatten().to_numpy().astype(np.int32)
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy())
-        for doc, y, at, to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), [0, *ends[:-1]], ends, strict=True):
-            t, c = terms[at:to], counts[at:to]
-            groups.setdefault((y, t.tobytes(), c.tobytes()), [doc, y, t, c, 0])[4] += 1
-    rows = list(groups.values())
-    del groups, table
-    model.ids, model.labels, model.copies = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-    marks = [model.words[w] for w in model.vocabulary]
-
-    def vectors():
-        for _, _, t, c, _ in rows:
-            w = (1 + np.log(c)) * model.idf[t]
-            yield t.astype(np.int64), w / math.sqrt(max(1e-12, float(np.square(w).sum())))
-
+    sort = np.lexsort((term, row))
+    term, number = term[sort], number[sort]
+    ends, groups = np.cumsum(many), {}
+    for i, (a, b) in enumerate(zip((ends - many).tolist(), ends.tolist(), strict=True)):
+        groups.setdefault((int(label[i]), term[a:b].tobytes(), number[a:b].tobytes()), []).append(i)
+    kept = np.array([g[0] for g in groups.values()])
+    model.ids, model.labels, model.copies = ids[kept], label[kept].astype(np.int64), np.array([len(g) for g in groups.values()])
+    del groups
+    take, size = ranges((ends - many)[kept], ends[kept])
+    row, term, number = np.repeat(np.arange(len(kept)), size), term[take], number[take]
     # some of each label, dealt evenly
-    trial = [i for y in (0, 1) for own in [np.flatnonzero(model.labels == y)] for i in own[:: max(1, -(-2 * len(own) // TRIALS))].tolist()]
-    share = {y: sum(r[4] for r in rows if r[1] == y) / max(1, sum(rows[i][4] for i in trial if rows[i][1] == y)) for y in (0, 1)}
-
-    def loss(near: list, m: float) -> float:
-        total = 0.0
-        for i, found in near:
-            y = int(model.labels[i])
-            p = min(1 - 1e-9, max(1e-9, model.vote(found, m)))
-            total -= share[y] * rows[i][4] * model.weights[y] * math.log(p if y else 1 - p)
-        return total
-
-    best = None
-    for factor in (1.0, 4.0, 16.0, 64.0) if marks else (1.0,):
+    trial = np.concatenate([own[:: max(1, -(-2 * len(own) // TRIALS))] for y in (0, 1) for own in [np.flatnonzero(model.labels == y)]])
+    weight = np.zeros(len(kept))
+    for y, part in enumerate(model.weights):
+        mine = model.labels == y
+        weight[mine] = part * model.copies[mine] * model.copies[mine].sum() / max(1, model.copies[trial][model.labels[trial] == y].sum())
+    entries, sizes = ranges((np.cumsum(size) - size)[trial], np.cumsum(size)[trial])
+    asked, best = np.repeat(np.arange(len(trial)), sizes), None
+    for factor in FACTORS if len(marks) else FACTORS[:1]:
         model.idf = plain.copy()
         model.idf[marks] *= factor
-        units = list(vectors())
-        model.index = BlockMaxIndex(units, len(names))
-        near = [(i, model.index.nearest(units[i], model.neighbours, skip=i)) for i in trial]
-        for m in (0.05, 0.2, 0.5, 1.0, 2.0):
-            if best is None or loss(near, m) < best[0]:
-                best = (loss(near, m), factor, m, model.idf, model.index)
-        del units
-    _, _, model.shrink, model.idf, model.index = best
+        value = (1 + np.log(number)) * model.idf[term]
+        value /= np.sqrt(np.maximum(1e-12, np.bincount(row, np.square(value), len(kept))))[row]
+        model.index = BlockMaxIndex(row, term, value, len(kept), terms)
+        near = model.index.nearest(asked, term[entries], value[entries], len(trial), model.neighbours, skip=trial)
+        for m in SHRINKS:
+            p = np.clip(model.vote(*near, m), 1e-9, 1 - 1e-9)
+            loss = -(weight[trial] * np.log(np.where(model.labels[trial] == 1, p, 1 - p))).sum()
+            if best is None or loss < best[0]:
+                best = (loss, m, model.idf, model.index)
+    _, model.shrink, model.idf, model.index = best
 
 
 SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>"
@@ -296,11 +329,13 @@ SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, simil
 def _score(model: Model, evidence: int) -> Callable:
     def run(batches):
         forget_encoders()
-        for batch, texts in slices(batches, "text"):
-            found = [model.score(t) for t in texts.to_pylist()]
-            why = [[{"doc_id": model.ids[i], "similarity": s, "toxic": int(model.labels[i])} for s, i in near[:evidence]] for _, near in found]
-            kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([s for s, _ in found], pa.float64()), pa.array(why, kind)], names=["doc_id", "score", "evidence"])
+        for batch, texts in slices(batches, "text", TEXT_BYTES):
+            scores, near, examples = model.score(texts)
+            near, examples = near[:, :evidence], examples[:, :evidence]
+            there = near > 0
+            pick = examples[there]
+            why = pa.StructArray.from_arrays([pa.array(model.ids[pick], pa.int64()), pa.array(near[there], pa.float64()), pa.array(model.labels[pick], pa.int32())], names=["doc_id", "similarity", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(scores, pa.float64()), list_array(why, there.sum(axis=1))], names=["doc_id", "score", "evidence"])
 
     return run
 
@@ -313,13 +348,13 @@ def score(docs: DataFrame, model: Model, evidence: int = 3, id_col: str = "doc_i
 
 def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    probe = fresh(docs.columns, "probe_text")
+    plain = next((f.name for f in docs.schema if f.name.lower() == text_col.lower() and f.dataType.simpleString() == "string"), None)
+    probe = plain or fresh(docs.columns, "probe_text")
 
     def run(batches):
         forget_encoders()
-        for batch in batches:
-            texts = plain_strings(batch.column(batch.schema.get_field_index(probe)))
-            keep = [model.score(t)[0] < threshold for t in texts.to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([probe])
+        for batch, texts in slices(batches, probe, TEXT_BYTES):
+            out = batch.filter(pa.array(model.score(texts)[0] < threshold))
+            yield out if plain else out.drop_columns([probe])
 
-    return docs.withColumn(probe, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return (docs if plain else docs.withColumn(probe, F.col(text_col).cast("string"))).mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -335,15 +336,67 @@ def test_toxicity(spark, docs, none):
     assert all(zlib.crc32(str(i).encode()) % 5 for i in folds) and folds
 
 
-def test_block_max_index_is_exact():
+def entries(vectors):
+    """row, term, weight of dicts."""
+    rows = [(i, t, w) for i, v in enumerate(vectors) for t, w in sorted(v.items())]
+    return tuple(np.array([r[j] for r in rows], float if j == 2 else np.int64) for j in range(3))
+
+
+@pytest.mark.parametrize("common", [0, 3, 12])
+def test_block_max_index_is_exact(common):
     rnd = random.Random(9)
     unit = lambda v: {t: w / sum(x * x for x in v.values()) ** 0.5 for t, w in v.items()}
     vectors = [unit({rnd.randrange(12): rnd.random() + 0.01 for _ in range(rnd.randint(1, 4))}) for _ in range(300)] + [{}]
-    index = toxicity.BlockMaxIndex(vectors, 12, block=8)
-    for q in vectors[:60]:
-        want = sorted(((-sum(w * v.get(t, 0.0) for t, w in q.items()), i) for i, v in enumerate(vectors)))[:7]
-        got = index.nearest(q, 7)
-        assert np.allclose([s for s, _ in got], [-s for s, _ in want])
+    vectors[7] = vectors[3]
+    index = toxicity.BlockMaxIndex(*entries(vectors), len(vectors), 12, block=8, common=common)
+    asked = [*vectors[:60], {}, *vectors[:300]]
+    near, found = index.nearest(*entries(asked), len(asked), 7)
+    for q, s, f in zip(asked, near, found, strict=True):
+        want = sorted(((-round(sum(w * v.get(t, 0.0) for t, w in q.items()), 6), i) for i, v in enumerate(vectors)))[:7]
+        assert np.allclose(s, [-x for x, _ in want], atol=2e-6)
+        assert all(abs(sum(w * vectors[e].get(t, 0.0) for t, w in q.items()) - x) < 2e-6 for x, e in zip(s, f, strict=True) if x > 0)
+    own = index.nearest(*entries(vectors[:50]), 50, 3, skip=np.arange(50))
+    assert not (own[1] == np.arange(50)[:, None])[own[0] > 0].any() and own[1][3][0] == 7
+    few = toxicity.BlockMaxIndex(*entries([{0: 1.0}, {1: 1.0}]), 2, 2)
+    assert few.nearest(*entries([{0: 1.0}]), 1, 5)[0].tolist() == [[1, 0, 0, 0, 0]]
+
+
+def test_toxicity_scores_against_brute_force(spark, none):
+    """Scores and evidence from plain dicts, given the factor and the shrinkage that the fit has chosen."""
+    rows, marks = toxic_corpus()
+    rows = [*rows, (500, rows[0][1]), (501, None), (502, "!!"), (503, "unheard of"), (504, " ".join(w for _, t in rows[:200] for w in t.split()))]
+    model = toxicity.fit(table(spark, rows), toxicity.learn_rows(spark.createDataFrame(marks, "doc_id long, toxic int")))
+    word = re.compile(r"[^\W_]+")
+    counts = [(i, collections.Counter(word.findall((t or "").lower()))) for i, t in rows]
+    df = collections.Counter(w for _, c in counts for w in c)
+    learned = [(i, c, dict(marks)[i]) for i, c in counts if i in dict(marks) and zlib.crc32(str(i).encode()) % 5]
+    known = {w for _, c, _ in learned for w in c}
+    assert set(model.words.to_pylist()) == known and len(model.ids) == len(learned)
+    plain = {w: math.log((len(rows) + 1) / (n + 1)) + 1 for w, n in df.items()}
+    at = {w: i for i, w in enumerate(model.words.to_pylist())}
+    factor = {round(model.idf[at[w]] / plain[w], 6) for w in model.vocabulary}
+    assert len(factor) == 1 and factor <= set(toxicity.FACTORS) and all(abs(model.idf[at[w]] - plain[w]) < 1e-9 for w in known - set(model.vocabulary))
+    other = [(n, plain[w]) for w, n in df.items() if w not in known]
+    unknown = sum(n * x * x for n, x in other) / sum(n for n, _ in other)
+    assert abs(model.unknown - unknown) < 1e-9
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * model.idf[at[w]] for w, n in c.items() if w in known}
+        rest = sum(unknown * (1 + math.log(n)) ** 2 for w, n in c.items() if w not in known)
+        size = math.sqrt(max(1e-12, rest + sum(x * x for x in v.values())))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = [(i, vector(c), y) for i, c, y in learned]
+    got = {r.doc_id: r for r in toxicity.score(table(spark, rows), model, evidence=15).collect()}
+    assert len(got) == len(rows)
+    for i, c in counts:
+        q = vector(c)
+        near = sorted(((-round(sum(x * v.get(w, 0.0) for w, x in q.items()), 6), j, y) for j, v, y in vectors))[:15]
+        votes = [(-s / (1.001 + s) * model.weights[y], y) for s, _, y in near if s < 0]
+        want = (sum(v for v, y in votes if y) + model.shrink * model.base) / (sum(v for v, _ in votes) + model.shrink)
+        assert abs(got[i].score - want) < 2e-3, i
+        assert np.allclose([e.similarity for e in got[i].evidence], [-s for s, _, _ in near if s < 0], atol=2e-6)
+    assert all(abs(got[i].score - model.base) < 1e-12 and not got[i].evidence for i in (501, 502, 503))
 
 
 def test_pii_hides_phone_numbers_that_fail_the_plan():
@@ -391,7 +444,7 @@ def test_toxicity_finds_copies_without_marking_words(spark):
     model = toxicity.fit(df, toxicity.learn_rows(spark.createDataFrame([*marks, *((i, y) for i, _, y in extra)], "doc_id long, toxic int")))
     got = {r.doc_id: r for r in toxicity.score(df, model).collect()}
     for i in (5000, 5001, 5002):
-        assert got[i].score >= 0.5 and any(abs(e.similarity - 1) < 1e-5 and e.toxic for e in got[i].evidence), i
+        assert got[i].score >= 0.5 and any(abs(e.similarity - 1) < 1e-4 and e.toxic for e in got[i].evidence), i
     assert got[5004].score < 0.5
     assert sorted(model.copies)[-2:] == [40, 100]
 
