@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,16 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Only a session that runs in one process may go without: it gets a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "spanweave-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Scratch tables that results still read; they go with the session.
+_leftovers: list[tuple[SparkSession, str]] = []
+
+
+def _drop_leftovers() -> None:
+    while _leftovers:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            drop_path(*_leftovers.pop())
+
+
+atexit.register(_drop_leftovers)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/spanweave/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/spanweave/{label}-{uuid.uuid4().hex}"
+    _leftovers.append((spark, path))
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -71,6 +90,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of stages whose result has been written."""
     import gc
