@@ -5,11 +5,17 @@ borders depend on the content alone. A chunk is stored once under its digest. La
 
   objects/kind=chunk    key (16-byte digest), n (ids), payload (little-endian ids, 2 or 4 bytes each)
   objects/kind=recipe   one row for each document as it was encoded (unordered)
-  recipes               doc_id, start, n_tokens, digests, counts, root; files and rows in ascending doc_id order
-  manifest              a Merkle root for each recipe file, and their root under part -1
+  recipes               part, doc_id, start, n_tokens, digests, counts, root; files (by name) and rows in ascending doc_id order
+  manifest              a row for each part: its first id, documents, ids, and the Merkle root over its documents;
+                        under part -1 the totals and the root over the parts
+
+A document's root is that over its chunks' digests; a part's leaves are its documents' ids, places and roots. Reading
+back checks each chunk against its digest and each recipe against its root, and fails on a missing chunk; `verify`
+holds the files against the manifest.
 
 Defined results: null text is empty (the end id alone); rows with a null doc_id come first; equal doc_ids keep one
-recipe each, in a fixed order; an empty table gives empty folders; further columns are ignored.
+recipe each, in a fixed order; texts of any length are encoded whole; an empty table gives a manifest of the totals
+alone; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,14 +27,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_path, list_array, mix64, release_shuffles, scratch_path, slices
+from .common import drop_path, list_array, mix64, path_exists, release_shuffles, scratch_path, slices
 from .tokenizing import encoder, with_end
 
 #: Ids in the window of the rolling hash; least, mean and most ids of a chunk.
 WINDOW, LEAST, MEAN, MOST = 16, 256, 1024, 4096
+#: Recipes of a part, and most parts: the manifest has a row for each, and so has the driver.
+PART_ROWS, MOST_PARTS = 20_000, 20_000
 OBJECTS = "kind string, key binary, n long, payload binary, doc_id long, digests array<binary>, counts array<int>"
 
 
@@ -109,14 +117,29 @@ def _encode(path: str, end: int, id_col: str, text_col: str, specials: bool = Fa
     return run
 
 
-def _roots(batches):
-    for b in batches:
-        at = b.schema.get_field_index("digests")
-        yield b.append_column("root", pa.array([merkle(x or []) for x in b.column(at).to_pylist()], pa.binary()))
+class Tree:
+    """The root of merkle() over leaves that come one after another; keeps one node of each level."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level, node = 0, hashlib.blake2b(b"\0" + leaf, digest_size=16).digest()
+        while self.nodes and self.nodes[-1][0] == level:
+            level, node = level + 1, hashlib.blake2b(b"\1" + self.nodes.pop()[1] + node, digest_size=16).digest()
+        self.nodes.append((level, node))
 
+    def root(self) -> bytes:
+        if not self.nodes:
+            return merkle([])
+        out = self.nodes[-1][1]
+        for _, node in reversed(self.nodes[:-1]):
+            out = hashlib.blake2b(b"\1" + node + out, digest_size=16).digest()
+        return out
 
-def write_store(docs: DataFrame, root: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> None:
-    """Encodes docs and writes the store below root."""
+
+def write_store(docs: DataFrame, root: str, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", specials: bool = False) -> bytes:
+    """Encodes docs and writes the store below root. Returns the manifest's top root."""
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = cols.mapInArrow(_encode(tokenizer, end, "doc_id", "text", specials), OBJECTS)
@@ -124,37 +147,76 @@ def write_store(docs: DataFrame, root: str, tokenizer: str, end: int, id_col: st
     once.write.partitionBy("kind").parquet(f"{root}/objects")
     release_shuffles(spark)
     recipes = spark.read.schema(OBJECTS.split(", ", 1)[1] + ", kind string").parquet(f"{root}/objects").where("kind = 'recipe'").select("key", "doc_id", "n", "digests", "counts")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = recipes.repartitionByRange(parts, "doc_id", "key").sortWithinPartitions("doc_id", "key").withColumn("part", F.spark_partition_id())
-    schema = "key binary, doc_id long, n long, digests array<binary>, counts array<int>, part int, root binary"
-    ranged.mapInArrow(_roots, schema).write.parquet(f"{root}/ordered")
-    ordered = spark.read.schema(schema).parquet(f"{root}/ordered")
-    # A row for each part: its ids, and the ids of the parts before it.
-    sums = ordered.groupBy("part").agg(F.sum("n").alias("part_n"))
-    before = sums.select("part", (F.sum("part_n").over(Window.orderBy("part")) - F.col("part_n")).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    # part numbers are at most `parts`, so the joined table is small whatever the input
-    starts = ordered.withColumn("inside", inside).join(F.broadcast(before), "part").select("part", "key", "doc_id", (F.col("before") + F.col("inside")).alias("start"), F.col("n").alias("n_tokens"), "digests", "counts", "root")
-    starts.write.parquet(f"{root}/recipes")
-    read = spark.read.schema(RECIPES).parquet(f"{root}/recipes")
-    leaves = read.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("start", "key", "root"))).alias("all"))
-    tops = leaves.mapInArrow(_part_root, "part int, root binary")
-    tops.write.parquet(f"{root}/manifest")
+    parts = min(MOST_PARTS, max(1, -(-recipes.count() // PART_ROWS)))
+    ranged = recipes.repartitionByRange(parts, "doc_id", "key").withColumn("part", F.spark_partition_id())
+    ranged.write.parquet(f"{root}/ordered")
+    ordered = spark.read.schema("key binary, doc_id long, n long, digests array<binary>, counts array<int>, part int").parquet(f"{root}/ordered")
+    # ids before each part: a number for each of at most MOST_PARTS parts
+    sums = np.zeros(max(parts, spark.read.parquet(f"{root}/ordered").agg(F.coalesce(F.max("part"), F.lit(0))).first()[0] + 1), np.int64)
+    for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect():
+        sums[r.part] = r.n
+    # a task holds whole parts and the tasks are in the order of parts, so are their files
+    final = ordered.repartitionByRange(parts, "part").sortWithinPartitions("part", "doc_id", "key").select("part", "key", "doc_id", "n", "digests", "counts")
+    final.mapInArrow(_recipes(np.cumsum(sums) - sums), RECIPES).write.parquet(f"{root}/recipes")
     drop_path(spark, f"{root}/ordered")
+    rows = _part_roots(spark, root, parts)
+    rows.append((-1, 0, sum(r[2] for r in rows), sum(r[3] for r in rows), merkle([r[4] for r in rows])))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.parquet(f"{root}/manifest")
+    return rows[-1][4]
 
 
 RECIPES = "part int, key binary, doc_id long, start long, n_tokens long, digests array<binary>, counts array<int>, root binary"
+MANIFEST = "part int, start long, docs long, ids long, root binary"
+
+
+def _recipes(before: np.ndarray) -> Callable:
+    """Adds each document's first id and root. Rows come in the order of parts and documents."""
+
+    def run(batches):
+        part, at = -1, 0
+        for b in batches:
+            own, n, starts = b.column(0).to_numpy(), b.column(3).to_numpy(), []
+            for p, k in zip(own.tolist(), n.tolist(), strict=True):
+                if p != part:
+                    part, at = p, int(before[p])
+                starts.append(at)
+                at += k
+            roots = [merkle(x or []) for x in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(starts, pa.int64()), b.column(3), b.column(4), b.column(5), pa.array(roots, pa.binary())], names=[c.split()[0] for c in RECIPES.split(", ")])
+
+    return run
+
 
+def _leaves(batches):
+    """A manifest row for each part, from its rows in order; ids that do not follow each other without gaps leave the root empty."""
+    part, tree, start, docs, at, whole = None, Tree(), 0, 0, 0, True
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.int64()) for x in (start, docs, at - start)), pa.array([tree.root() if whole else b""], pa.binary())], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-def _part_root(batches):
     for b in batches:
-        parts, lists = b.column(0).to_pylist(), b.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([merkle([x["root"] for x in v]) for v in lists], pa.binary())], names=["part", "root"])
+        for p, begin, doc, n, root in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if p != part:
+                if part is not None:
+                    yield row()
+                part, tree, start, docs, at, whole = p, Tree(), begin, 0, begin, True
+            whole = whole and begin == at
+            tree.add(f"{doc}:{begin}:{n}:".encode() + root)
+            docs, at = docs + 1, begin + n
+    if part is not None:
+        yield row()
+
+
+def _part_roots(spark: SparkSession, root: str, parts: int) -> list[tuple]:
+    """The manifest's rows of the parts as the recipe files are now."""
+    recipes = spark.read.schema(RECIPES).parquet(f"{root}/recipes").select("part", "start", "doc_id", "n_tokens", "root")
+    found = recipes.repartitionByRange(parts, "part").sortWithinPartitions("part", "start").mapInArrow(_leaves, MANIFEST)
+    return sorted(tuple(r) for r in found.collect())  # at most MOST_PARTS
 
 
 def top_root(spark: SparkSession, root: str) -> bytes:
-    """Root over the parts' roots; there are at most as many as shuffle partitions."""
-    return merkle([r.root for r in spark.read.schema("part int, root binary").parquet(f"{root}/manifest").orderBy("part").collect()])
+    """Root over the parts' roots."""
+    return spark.read.schema(MANIFEST).parquet(f"{root}/manifest").where("part = -1").first().root
 
 
 POLY = 0xEDB88320
@@ -182,15 +244,17 @@ def crc_shift(crc: np.ndarray, zero_bytes: np.ndarray) -> np.ndarray:
 
 
 def _check_chunks(batches):
-    """Reads payloads back: number of ids and crc32 of them as 32-bit integers; the digest must be the key."""
+    """Reads payloads back: number of ids (-1 where the digest is not the key) and crc32 of them as 32-bit integers."""
     for b in batches:
         keys, ns, payloads = (b.column(i).to_pylist() for i in range(3))
         crcs = []
-        for key, n, p in zip(keys, ns, payloads, strict=True):
+        for i, (key, n, p) in enumerate(zip(keys, ns, payloads, strict=True)):
             w = len(p) // n
-            if hashlib.blake2b(p, digest_size=16, salt=bytes([w])).digest() != key:
-                raise ValueError("a stored chunk does not have its digest")
-            crcs.append(zlib.crc32(np.frombuffer(p, f"<u{w}").astype("<u4").tobytes()))
+            if w not in (2, 4) or len(p) != n * w or hashlib.blake2b(p, digest_size=16, salt=bytes([w])).digest() != key:
+                ns[i] = -1
+                crcs.append(0)
+            else:
+                crcs.append(zlib.crc32(np.frombuffer(p, f"<u{w}").astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ns, pa.int64()), pa.array(crcs, pa.int64())], names=["digest", "stored", "crc"])
 
 
@@ -202,32 +266,42 @@ def _shift(batches):
         yield b.set_column(i, "crc", pa.array(got.astype(np.int64)))
 
 
-def read_back(spark: SparkSession, root: str) -> DataFrame:
-    """Documents as the files hold them: doc_id, start, n_tokens, ids_crc32, whole (all chunks there with their lengths)."""
+def _with_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each use of a chunk: its document, its place, and what the stored chunk holds (stored: null if it is missing, -1 if damaged)."""
     chunks = spark.read.schema("kind string, key binary, n long, payload binary").parquet(f"{root}/objects").where("kind = 'chunk'").select("key", "n", "payload").mapInArrow(_check_chunks, "digest binary, stored long, crc long")
     recipes = spark.read.schema(RECIPES).parquet(f"{root}/recipes")
-    uses = recipes.mapInArrow(_uses, "key binary, doc_id long, start long, n_tokens long, digest binary, n long, tail long")
-    joined = uses.join(chunks, "digest", "left")
-    shifted = joined.withColumn("crc", F.coalesce("crc", F.lit(0))).mapInArrow(_shift, joined.schema)
-    return shifted.groupBy("key", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), (F.sum("stored") == F.col("n_tokens")).alias("whole")).drop("key")
+    return recipes.mapInArrow(_uses, USES).join(chunks, "digest", "left")
+
+
+def read_back(spark: SparkSession, root: str) -> DataFrame:
+    """Documents as the files hold them: doc_id, start, n_tokens, ids_crc32. Fails on a chunk that is missing or damaged, and on a recipe without its root."""
+    joined = _with_chunks(spark, root)
+    good = F.col("sound") & F.coalesce(F.col("stored") == F.col("n"), F.lit(False))
+    crc = F.when(good, F.col("crc")).otherwise(F.raise_error(F.concat(F.lit("the store cannot give back document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).cast("long"))
+    shifted = joined.withColumn("crc", crc).mapInArrow(_shift, joined.schema)
+    return shifted.groupBy("key", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32")).drop("key")
+
+
+USES = "key binary, doc_id long, start long, n_tokens long, sound boolean, digest binary, n long, tail long"
 
 
 def _uses(batches):
+    """A row for each chunk of each document: its ids, and how many ids of the document follow it. sound: the recipe has its root."""
     for b in batches:
-        col = {n: b.column(b.schema.get_field_index(n)) for n in ("key", "doc_id", "start", "n_tokens", "digests", "counts")}
+        col = {n: b.column(b.schema.get_field_index(n)) for n in ("key", "doc_id", "start", "n_tokens", "digests", "counts", "root")}
         many = np.diff(col["counts"].offsets.to_numpy()).astype(np.int64)
         rows = pa.array(np.repeat(np.arange(len(many)), many))
         counts = col["counts"].flatten().to_numpy().astype(np.int64)
-        upto = np.cumsum(counts)
+        sound = pa.array([merkle(d) == r for d, r in zip(col["digests"].to_pylist(), col["root"].to_pylist(), strict=True)], pa.bool_())
         ends = np.cumsum(col["n_tokens"].to_numpy())
-        tail = np.repeat(ends, many) - upto
-        yield pa.RecordBatch.from_arrays([*(col[n].take(rows) for n in ("key", "doc_id", "start", "n_tokens")), col["digests"].flatten(), pa.array(counts), pa.array(tail)], names=["key", "doc_id", "start", "n_tokens", "digest", "n", "tail"])
+        tail = np.repeat(ends, many) - np.cumsum(counts)
+        yield pa.RecordBatch.from_arrays([*(col[n].take(rows) for n in ("key", "doc_id", "start", "n_tokens")), sound.take(rows), col["digests"].flatten(), pa.array(counts), pa.array(tail)], names=[c.split()[0] for c in USES.split(", ")])
 
 
 def reconstruct(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, ids: the documents' ids again, with the end id (checked against the recipes)."""
     chunks = spark.read.schema("kind string, key binary, n long, payload binary").parquet(f"{root}/objects").where("kind = 'chunk'").select(F.col("key").alias("digest"), "payload")
-    uses = spark.read.schema(RECIPES).parquet(f"{root}/recipes").mapInArrow(_uses, "key binary, doc_id long, start long, n_tokens long, digest binary, n long, tail long")
+    uses = spark.read.schema(RECIPES).parquet(f"{root}/recipes").mapInArrow(_uses, USES)
     together = uses.join(chunks, "digest").groupBy("key", "doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct((-F.col("tail")).alias("order"), "n", "payload"))).alias("pieces"))
 
     def run(batches):
@@ -240,17 +314,22 @@ def reconstruct(spark: SparkSession, root: str) -> DataFrame:
     return together.mapInArrow(run, "doc_id long, start long, ids array<long>")
 
 
-def verify(spark: SparkSession, root: str) -> bool:
-    """Whether every document can be rebuilt and every Merkle root holds."""
-    recipes = spark.read.schema(RECIPES).parquet(f"{root}/recipes")
-
-    def wrong(batches):
-        for b in batches:
-            d, r = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("digests", "root"))
-            yield pa.RecordBatch.from_arrays([pa.array([int(merkle(x) != y) for x, y in zip(d, r, strict=True)], pa.int64())], names=["bad"])
-
-    bad = recipes.mapInArrow(wrong, "bad long").agg(F.sum("bad")).first()[0] or 0
-    return bad == 0 and read_back(spark, root).where("not whole").isEmpty()
+def verify(spark: SparkSession, root: str, top: bytes | None = None) -> bool:
+    """Whether the recipe files are those of the manifest (whose top root is `top`, if given) and every document can be rebuilt."""
+    if not all(path_exists(spark, f"{root}/{x}") for x in ("manifest", "recipes", "objects")):
+        return False
+    held = sorted(tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{root}/manifest").collect())  # at most MOST_PARTS
+    if not held or held[0][0] != -1 or top is not None and held[0][4] != top:
+        return False
+    parts, at = held[1:], 0
+    for part in parts:
+        if part[1] != at:
+            return False
+        at += part[3]
+    if held[0] != (-1, 0, sum(r[2] for r in parts), at, merkle([r[4] for r in parts])) or _part_roots(spark, root, max(1, len(parts))) != parts:
+        return False
+    good = F.col("sound") & F.coalesce(F.col("stored") == F.col("n"), F.lit(False))
+    return _with_chunks(spark, root).where(~good).isEmpty()
 
 
 def store_digest(docs: DataFrame, tokenizer: str, end: int, root: str | None = None, specials: bool = False) -> DataFrame:

@@ -1,14 +1,18 @@
 """Corpus operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import collections
+import glob
 import math
+import os
 import random
 import re
+import shutil
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -125,22 +129,86 @@ def test_best_subset():
 
 def test_token_store(spark, docs, none, tmp_path):
     root = f"file://{tmp_path}/store"
-    token_store.write_store(docs, root, BYTE, 2)
+    top = token_store.write_store(docs, root, BYTE, 2)
     got = token_store.read_back(spark, root).orderBy("start").collect()
-    want, at = [], 0
+    at = 0
     assert [r.doc_id for r in got] == sorted([i for i, _ in corpus()], key=lambda i: (i is not None, i or 0))
     for r in got:
-        assert r.start == at and r.whole
+        assert r.start == at
         at += r.n_tokens
     pairs = collections.Counter((i, len(x), crc(x)) for i, x in encoded(BYTE, 2))
     assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == pairs
     rebuilt = token_store.reconstruct(spark, root).collect()
     assert collections.Counter((r.doc_id, len(r.ids), crc(r.ids)) for r in rebuilt) == pairs
-    assert token_store.verify(spark, root) and len(token_store.top_root(spark, root)) == 16
+    assert token_store.verify(spark, root, top) and token_store.top_root(spark, root) == top and not token_store.verify(spark, root, b"x" * 16)
     chunks = spark.read.parquet(f"{root}/objects").where("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count() and chunks.agg(F.sum("n")).first()[0] < at
-    empty = token_store.store_digest(none, BYTE, 2)
-    assert empty.isEmpty() and want == []
+    empty = f"file://{tmp_path}/empty"
+    assert token_store.verify(spark, empty, token_store.write_store(none, empty, BYTE, 2)) and token_store.read_back(spark, empty).isEmpty()
+    assert token_store.store_digest(none, BYTE, 2).isEmpty()
+
+
+def files(path):
+    return sorted(glob.glob(f"{path}/**/part-*.parquet", recursive=True))
+
+
+def test_token_store_files_are_in_order(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_ROWS", 9)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(before, ("7", "false"), strict=True):
+            spark.conf.set(k, v)
+        token_store.write_store(docs, f"file://{tmp_path}/store", BYTE, 2)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    rows = [r for f in files(f"{tmp_path}/store/recipes") for r in pq.read_table(f).to_pylist()]
+    assert len(files(f"{tmp_path}/store/recipes")) > 5 and len({r["part"] for r in rows}) > 5
+    assert [r["doc_id"] for r in rows] == sorted((i for i, _ in corpus()), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in rows:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_token_store_shows_damage(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_ROWS", 30)
+    top = token_store.write_store(docs, f"file://{tmp_path}/store", BYTE, 2)
+
+    def damaged(name, change):
+        shutil.copytree(f"{tmp_path}/store", f"{tmp_path}/{name}")
+        for f in glob.glob(f"{tmp_path}/{name}/**/.*.crc", recursive=True):
+            os.remove(f)
+        change(f"{tmp_path}/{name}")
+        return f"file://{tmp_path}/{name}"
+
+    def rewrite(path, change):
+        t = pq.read_table(path, partitioning=None)
+        rows = t.to_pylist()
+        change(rows)
+        pq.write_table(pa.Table.from_pylist(rows, schema=t.schema), path)
+
+    lost = damaged("lost-recipes", lambda p: os.remove(files(f"{p}/recipes")[1]))
+    assert not token_store.verify(spark, lost, top)
+    assert not token_store.verify(spark, damaged("no-manifest", lambda p: shutil.rmtree(f"{p}/manifest")))
+    other = damaged("other-manifest", lambda p: rewrite(files(f"{p}/manifest")[0], lambda rows: rows[0].update(root=b"0" * 16)))
+    assert not token_store.verify(spark, other)
+    moved = damaged("moved", lambda p: rewrite(files(f"{p}/recipes")[0], lambda rows: rows[0].update(doc_id=77)))
+    assert not token_store.verify(spark, moved)
+    for name, change in (("lost-chunk", lambda rows: rows.pop(0)), ("changed-chunk", lambda rows: rows[0].update(payload=bytes(len(rows[0]["payload"]))))):
+        at = damaged(name, lambda p, change=change: rewrite(files(f"{p}/objects/kind=chunk")[0], change))
+        assert not token_store.verify(spark, at, top)
+        with pytest.raises(Exception, match="cannot give back"):
+            token_store.read_back(spark, at).collect()
+
+
+def test_tree_equals_merkle():
+    leaves = [bytes([i]) * 3 for i in range(40)]
+    for n in range(41):
+        tree = token_store.Tree()
+        for x in leaves[:n]:
+            tree.add(x)
+        assert tree.root() == token_store.merkle(leaves[:n])
 
 
 def test_chunks_depend_on_content():
