@@ -112,12 +112,12 @@ def plain_strings(col) -> pa.Array:
     return pc.fill_null(col, "")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Cuts record batches so that the text column of each piece has about `most` bytes (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | int, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Cuts record batches so that the text column of each piece has about `most` bytes (one row at least). text: name or place of the column."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        texts = plain_strings(batch.column(batch.schema.get_field_index(text)))
+        texts = plain_strings(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
         size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         group = np.cumsum(size) // most
         cut = np.flatnonzero(np.diff(group)) + 1

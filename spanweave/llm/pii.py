@@ -1,19 +1,26 @@
 """Format-preserving pseudonyms by a keyed Feistel permutation.
 
 Validated values are found in the whole text and replaced by others of the same format that are valid too: card
-numbers (Luhn), phone numbers, IPv4 addresses, social security numbers, IBANs (mod 97), calendar dates, the local
-part of e-mail addresses, and secrets (access keys, passwords, tokens). Phone numbers that the plan of their country
-rules out, such as '+1 (017) 555-7713', are replaced by others that it rules out; digits behind a number are not part
-of it. Dates have the year in front or behind, one or two digits for day and month, and may have a time behind them
-(which stays); slash dates are month/day and others day-month, or the other way where only that is a day. Dates
-with the year in two digits or the month in words are left. A value is read as a number x below the N of its format. P is a keyed balanced Feistel network over the next
-even number of bits, walked until it falls below N; the pseudonym is the value of P^-1(P(x) + 1 mod N), taken again
-while that is of another format. That is a permutation without fixed points, so equal values stay equal in all
-documents, different ones stay different, nothing stays as it was, and the key gives values back.
+numbers (Luhn), phone numbers, IPv4 and IPv6 addresses, social security numbers, IBANs (mod 97), calendar dates, the
+local part of e-mail addresses, and secrets (access keys, passwords, tokens).
+
+Phone numbers are a country code (the longest-known prefix rule of the numbering plan) and national digits, whatever
+the layout: '+49 30 1234567', '+49301234567' and '+49 (0)30 1234567' have one pseudonym, and so have '+1 (212)
+555-0123', '1-212-555-0123' and '212-555-0123'. North American numbers that the plan rules out, such as '+1 (017)
+555-7713', are replaced by others that it rules out; digits behind a number are not part of it. Dates have the year in
+front or behind, one or two digits for day and month, or the month as a word (English, German, French, Spanish), and
+may have a time behind them (which stays); slash dates are month/day and others day-month, or the other way where only
+that is a day. Dates with the year in two digits are left, and so are national numbers of other plans without a
+country code. What follows 'password:' and the like is a secret if it is no plain word; behind '=' anything is.
+
+A value is read as a number x below the N of its format. P is a keyed balanced Feistel network over the next even
+number of bits, walked until it falls below N; the pseudonym is the value of P^-1(P(x) + 1 mod N), taken again while
+that is of another format. That is a permutation without fixed points, so equal values stay equal in all documents,
+different ones stay different, nothing stays as it was, and the key gives values back.
 
 Defined results: null text stays null, text without values stays as it is; values that overlap are taken from left
-to right, the longer first; rows are treated one by one, so ties and repeats do not matter; an empty table stays
-empty; all other columns are kept, whatever their names.
+to right, the longer first; texts of any length are read whole; rows are treated one by one, so ties and repeats do
+not matter; an empty table stays empty; all other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +28,14 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from ipaddress import AddressValueError, IPv6Address
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, slices
 from .tokenizing import forget_encoders
 
 ROUNDS = 8
@@ -85,24 +93,36 @@ def refill(shape: str, symbols: str, is_slot: Callable[[str], bool]) -> str:
     return "".join(next(it) if is_slot(c) else c for c in shape)
 
 
-def _by_class(p: Permuter, kind: str, s: str, by: int) -> str:
-    """Permutes the ASCII letters and digits of s, each within its class; lower-case hex stays hex."""
-    hexes = len(s) >= 8 and set(s) <= set("0123456789abcdef")
-    sets = {c: "0123456789abcdef" if hexes else "0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in s if c.isascii() and c.isalnum()}
+HEX = {"0123456789abcdef", "0123456789ABCDEF"}
+
+
+def _hex(s: str) -> str | None:
+    """The digits of a hex number with letters and digits, in one case."""
+    return next((h for h in HEX if len(s) >= 8 and set(s) <= set(h) and set(s) & set(h[:10]) and set(s) & set(h[10:])), None)
+
+
+def _by_class(p: Permuter, kind: str, s: str, by: int, hexes: bool = False) -> str:
+    """Permutes the ASCII letters and digits of s, each within its class; with hexes, a hex number stays one."""
+    digits = _hex(s) if hexes else None
+    sets = {c: digits or ("0123456789" if c.isdigit() else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in s if c.isascii() and c.isalnum()}
     x, n = 0, 1
     for c in s:
         if c in sets:
             x, n = x * len(sets[c]) + sets[c].index(c), n * len(sets[c])
     # the classes are part of the format
-    tag = kind + ":" + "".join("h" if hexes else "d" if c.isdigit() else "l" if c.islower() else "u" for c in s if c in sets)
-    x, out = p.shift(tag, n, x, by), []
-    for c in reversed(s):
-        if c in sets:
-            x, d = divmod(x, len(sets[c]))
-            out.append(sets[c][d])
-        else:
-            out.append(c)
-    return "".join(reversed(out))
+    tag = kind + ":" + "".join("h" if digits else "d" if c.isdigit() else "l" if c.islower() else "u" for c in s if c in sets)
+    while True:
+        x, out = p.shift(tag, n, x, by), []
+        left = x
+        for c in reversed(s):
+            if c in sets:
+                left, d = divmod(left, len(sets[c]))
+                out.append(sets[c][d])
+            else:
+                out.append(c)
+        new = "".join(reversed(out))
+        if not hexes or _hex(new) == digits:  # else the next value that is read as one of the same kind
+            return new
 
 
 def card(p: Permuter, m: re.Match, by: int) -> str | None:
@@ -114,36 +134,55 @@ def card(p: Permuter, m: re.Match, by: int) -> str | None:
     return refill(m[0], new + str(luhn(new)), str.isdigit)
 
 
-def _front(text: str, country: str) -> tuple[int, bool] | None:
-    """Length of the front of a phone match that is the number, and whether it is a valid one of North America. A match
-    takes digit groups behind the number in; it is cut at spaces: at ten digits in North America, else at twelve at most."""
-    fronts = [(n, len(re.sub(r"\D", "", text[len(country) : n]))) for n in [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] == " ")]]
-    american = country in ("", "+1")
-    fit = american and [n for n, k in fronts if k == 10] or [n for n, k in fronts if 6 <= k <= 12]
+# Country codes of one and two digits; all others have three.
+CODES = {"1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
+
+
+def _national(text: str) -> tuple[int, str, list[int], bool] | None:
+    """Of a phone match: the length of its front that is the number, its country code, the places of its national digits,
+    and whether it is a valid number of North America. A match takes digit groups behind the number in; it is cut at
+    spaces: at ten national digits in North America, else at twelve at most."""
+    places = [i for i, c in enumerate(text) if c.isdigit()]
+    if text[0] == "+":
+        digits = "".join(text[i] for i in places[:3])
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in CODES), digits)
+        if digits[0] == "0" or not text[1 : len(code) + 1].isdigit():
+            return None
+        places = places[len(code) :]
+        trunk = text.find("(0)")
+        places = [i for i in places if i != trunk + 1] if trunk >= 0 else places
+    else:
+        code, places = "1", places[-10:]
+    fronts = [(n, sum(i < n for i in places)) for n in [len(text), *(i for i in range(len(text) - 1, 0, -1) if text[i] == " ")]]
+    fit = code == "1" and [n for n, k in fronts if k == 10] or [n for n, k in fronts if 6 <= k <= 12]
     if not fit:
         return None
-    digits = re.sub(r"\D", "", text[len(country) : fit[0]])
-    return fit[0], american and len(digits) == 10 and digits[0] not in "01" and digits[3] not in "01"
+    places = [i for i in places if i < fit[0]]
+    return fit[0], code, places, code == "1" and len(places) == 10 and text[places[0]] not in "01" and text[places[3]] not in "01"
 
 
 def phone(p: Permuter, m: re.Match, by: int) -> str | None:
     """The pseudonym of the front of the match, as long as that front. Numbers that North America's plan rules out, and
-    those of other lengths, are permuted among their own kind over all digits."""
-    country = m["cc"] or ""
-    if (front := _front(m[0], country)) is None:
+    those of other lengths and countries, are permuted among their own kind over all national digits."""
+    if (read := _national(m[0])) is None:
         return None
-    shape = m[0][len(country) : front[0]]
-    digits = re.sub(r"\D", "", shape)
-    if front[1]:
-        x = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
-        x = p.shift("phone", 800 * 800 * 10_000, x, by)
-        return country + refill(shape, f"{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}", str.isdigit)
+    end, code, places, valid = read
+    digits = "".join(m[0][i] for i in places)
     x, n = int(digits), len(digits)
-    while True:  # the next value that is read as one of the same kind
-        x = p.shift("phone" + country, 10**n, x, by)
-        new = country + refill(shape, f"{x:0{n}d}", str.isdigit)
-        if _front(new, country) == front:
-            return new
+    while True:
+        if valid:
+            x = ((int(digits[:3]) - 200) * 800 + int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
+            x = p.shift("phone", 800 * 800 * 10_000, x, by)
+            digits = f"{x // 8_000_000 + 200}{x // 10_000 % 800 + 200}{x % 10_000:04d}"
+        else:
+            x = p.shift("phone" + code, 10**n, x, by)
+            digits = f"{x:0{n}d}"
+            if code == "1" and n == 10 and digits[0] not in "01" and digits[3] not in "01" or code != "1" and (digits[0] == "0") != (m[0][places[0]] == "0"):
+                continue  # the next value that is one of the same kind
+        new = list(m[0][:end])
+        for i, d in zip(places, digits, strict=True):
+            new[i] = d
+        return "".join(new)
 
 
 def ipv4(p: Permuter, m: re.Match, by: int) -> str | None:
@@ -154,6 +193,37 @@ def ipv4(p: Permuter, m: re.Match, by: int) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ipv6(p: Permuter, m: re.Match, by: int) -> str | None:
+    """Permutes the digits of the written groups; zeros in front, groups of a zero and '::' stay. What holds no decimal digit is read as a name like a::b."""
+    try:
+        IPv6Address(m[0])
+    except AddressValueError:
+        return None
+    if not re.search(r"\d", m[0]) or m[0] != m[0].lower() and m[0] != m[0].upper():
+        return None
+    digits = "0123456789ABCDEF" if m[0] != m[0].lower() else "0123456789abcdef"
+    places = []  # and whether a digit is the first of its group, which is no zero
+    for g in re.finditer(r"[0-9A-Fa-f]+", m[0]):
+        lead = len(g[0]) - len(g[0].lstrip("0"))
+        places += [(g.start() + i, int(i == lead)) for i in range(lead, len(g[0]))]
+    x, n = 0, 1
+    for i, first in places:
+        x, n = x * (16 - first) + digits.index(m[0][i]) - first, n * (16 - first)
+    if n < 2:
+        return None
+    used = {i for i, _ in places}
+    tag = "ipv6" + "".join("x" if i in used else c for i, c in enumerate(m[0]))
+    while True:
+        x = p.shift(tag, n, x, by)
+        left, new = x, list(m[0])
+        for i, first in reversed(places):
+            left, d = divmod(left, 16 - first)
+            new[i] = digits[d + first]
+        out = "".join(new)
+        if (out != out.lower()) == (m[0] != m[0].lower()):  # letters show the case
+            return out
+
+
 def ssn(p: Permuter, m: re.Match, by: int) -> str | None:
     area, group, serial = map(int, m[0].split("-"))
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -164,14 +234,19 @@ def ssn(p: Permuter, m: re.Match, by: int) -> str | None:
     return f"{area + (area >= 666):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
 
 
+def _valid_iban(s: str) -> bool:
+    return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def iban(p: Permuter, m: re.Match, by: int) -> str | None:
-    s = m[0].replace(" ", "")
-    number = lambda t: int("".join(str(int(c, 36)) for c in t))
-    if not 15 <= len(s) <= 34 or number(s[4:] + s[:4]) % 97 != 1:
-        return None
-    new = _by_class(p, "iban" + s[:2], s[4:], by)
-    check = 98 - number(new + s[:2] + "00") % 97
-    return refill(m[0], f"{s[:2]}{check:02d}{new}", lambda c: c != " ")
+    """The longest front of the match that is valid, ending at a space or the end: words may stand behind it."""
+    for end in [len(m[0]), *(i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")]:
+        s = m[0][:end].replace(" ", "")
+        if _valid_iban(s):
+            new = _by_class(p, "iban" + s[:2], s[4:], by)
+            check = 98 - int("".join(str(int(c, 36)) for c in new + s[:2] + "00")) % 97
+            return refill(m[0][:end], f"{s[:2]}{check:02d}{new}", lambda c: c != " ")
+    return None
 
 
 def _day(m: re.Match) -> tuple[datetime.date, bool, tuple] | None:
@@ -208,14 +283,75 @@ def date(p: Permuter, m: re.Match, by: int) -> str | None:
             return new
 
 
+# Names of the months, and their short forms in English.
+MONTHS = [
+    "January February March April May June July August September October November December".split(),
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+]
+NAMES = "|".join(sorted({n for names in MONTHS for n in names}, key=lambda n: (-len(n), n)))
+CASES = (str.lower, str.upper, str.title)
+WRITTEN = re.compile(rf"(?i)(?<![\w./-])(?:(?P<d1>\d{{1,2}})(?P<o1>st|nd|rd|th|\.)?(?P<a1> (?:de |of )?)(?P<m1>{NAMES})(?P<b1>,? (?:de )?)(?P<y1>\d{{4}})|(?P<m2>{NAMES})(?P<a2> )(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?P<b2>,? )(?P<y2>\d{{4}}))(?!\w)")
+
+
+def _written(text: str) -> tuple[datetime.date, tuple] | None:
+    """The day of a date with the month as a word, and its format."""
+    if not (m := WRITTEN.fullmatch(text)):
+        return None
+    k = "1" if m["d1"] else "2"
+    name = m["m" + k]
+    for i, names in enumerate(MONTHS):
+        for j, n in enumerate(names):
+            for c, case in enumerate(CASES):
+                if case(n) == name:
+                    try:
+                        day = datetime.date(int(m["y" + k]), j + 1, int(m["d" + k]))
+                    except ValueError:
+                        return None
+                    ordinal = m["o" + k]
+                    if ordinal and ordinal != "." and ordinal != _ordinal(day.day):
+                        return None
+                    return (day, (k, i, c, len(m["d" + k]), m["d" + k][0] == "0", ordinal and ordinal == ".", m["a" + k], m["b" + k], bool(ordinal))) if FIRST_DAY <= day <= LAST_DAY else None
+    return None
+
+
+def _ordinal(day: int) -> str:
+    return "th" if 10 < day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(day % 10, "th")
+
+
+def written(p: Permuter, m: re.Match, by: int) -> str | None:
+    if (read := _written(m[0])) is None:
+        return None
+    day, form = read
+    k, language, case, width, _, dot, a, b, ordinal = form
+    while True:  # the next day that is written and read in the same format
+        day = FIRST_DAY + datetime.timedelta(days=p.shift("date", (LAST_DAY - FIRST_DAY).days + 1, (day - FIRST_DAY).days, by))
+        name, number = CASES[case](MONTHS[language][day.month - 1]), f"{day.day:0{width}d}" + ("." if dot else _ordinal(day.day) if ordinal else "")
+        new = f"{number}{a}{name}{b}{day.year:04d}" if k == "1" else f"{name}{a}{number}{b}{day.year:04d}"
+        if _written(new) == (day, form):
+            return new
+
+
 def email(p: Permuter, m: re.Match, by: int) -> str | None:
     return _by_class(p, "email", m["local"], by) + m[0][len(m["local"]) :]
 
 
+def _plain(value: str) -> bool:
+    """Whether a value may be a word of prose: letters alone, of one case or with a capital in front."""
+    return value.isalpha() and (value[1:].islower() or value.isupper())
+
+
 def secret(p: Permuter, m: re.Match, by: int) -> str | None:
     value = m["value"]
+    if m["sign"] == ":" and _plain(value):
+        return None
     a = m.start("value") - m.start()
-    return m[0][:a] + _by_class(p, "secret", value, by) + m[0][a + len(value) :]
+    while True:  # never a plain word
+        value = _by_class(p, "secret", value, by, hexes=True)
+        if m["sign"] == "=" or not _plain(value):
+            return m[0][:a] + value + m[0][a + len(value) :]
 
 
 def access_key(p: Permuter, m: re.Match, by: int) -> str | None:
@@ -232,43 +368,38 @@ DATE = re.compile(r"(?<![\w./-])(?:(?P<y1>\d{4})(?P<sep1>[-/.])(?P<m1>\d{1,2})(?
 #: Kinds: pattern, and what gives the pseudonym of a match or None if it is no valid value.
 KINDS: dict[str, tuple[re.Pattern, Callable]] = {
     "email": (re.compile(r"(?<![\w.+%-])(?P<local>[A-Za-z0-9_.+%-]*[A-Za-z0-9][A-Za-z0-9_.+%-]*)@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"), email),
-    "secret": (re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?(?P<value>[A-Za-z0-9+/_.-]*[A-Za-z0-9][A-Za-z0-9+/_-]{5,})"), secret),
+    "secret": (re.compile(r"(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?(?P<sign>[=:])\s?[\"']?(?P<value>[A-Za-z0-9+/_.-]*[A-Za-z0-9][A-Za-z0-9+/_-]{5,})"), secret),
     "access_key": (re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), access_key),
     "iban": (re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), iban),
     "card": (re.compile(r"(?<![\w+-])(?<!\d\.)(?:\d{13,19}|\d{4}(?P<s1>[ -])\d{4}(?P=s1)\d{4}(?P=s1)\d{1,7}|\d{4}(?P<s2>[ -])\d{6}(?P=s2)\d{5})(?![\w-])"), card),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), ssn),
-    "phone": (re.compile(rf"(?<![\w+.-])(?:(?P<cc>\+\d{{1,3}})[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,8}}(?:(?: (?!{ADDRESS})|[.-])\d{{2,8}}){{0,4}}|(?:\(\d{{3}}\) ?|\d{{3}}(?P<s>[ .-]))\d{{3}}[ .-]\d{{4}})(?![\w-])"), phone),
+    "phone": (re.compile(rf"(?<![\w+.-])(?:\+\d{{1,15}}(?:(?:(?: (?!{ADDRESS})|[./-])?\(\d{{1,5}}\)(?: (?!{ADDRESS})|[./-])?|(?: (?!{ADDRESS})|[./-]))\d{{1,12}}){{0,6}}|(?:1[ .-])?(?:\(\d{{3}}\) ?|\d{{3}}(?P<s>[ .-]))\d{{3}}[ .-]\d{{4}})(?![\w-])"), phone),
     "ipv4": (re.compile(r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-]|\.\d)"), ipv4),
+    "ipv6": (re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?=:)|:(?=:))(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)"), ipv6),
     "date": (DATE, date),
+    "written": (WRITTEN, written),
 }
+#: Kinds of which a match may hold more than the value; a pseudonym is as long as the value it stands for.
+FRONTS = {"phone", "iban"}
 #: What any value holds: a digit, an at sign, or what stands before a secret.
 HINT = re.compile(r"[0-9@=:]")
 
 
-def _phones(pattern: re.Pattern, text: str) -> Iterator[tuple[re.Match, int]]:
-    """Phone matches and where their numbers end; the search goes on there, as another number may follow."""
-    at = 0
-    while m := pattern.search(text, at):
-        front = _front(m[0], m["cc"] or "")
-        at = m.start() + (front[0] if front else 1)
-        if front:
-            yield m, at
-
-
 def find(p: Permuter, text: str, by: int = 1) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values of a text, from left to right, without overlaps."""
     if not HINT.search(text):
         return []
     found = []
     for order, (kind, (pattern, f)) in enumerate(KINDS.items()):
-        if kind == "phone":
-            matches = _phones(pattern, text)
-        else:
-            matches = ((m, m.end()) for m in pattern.finditer(text))
-        for m, end in matches:
+        at = 0
+        while m := pattern.search(text, at):
             new = f(p, m, by)
-            if new is not None:
-                found.append((m.start(), -end, order, kind, new))
+            if new is None:
+                # values may start inside of what was none
+                at = m.start() + 1 if kind in FRONTS else m.end()
+                continue
+            at = m.start() + len(new) if kind in FRONTS else m.end()
+            found.append((m.start(), -at, order, "date" if kind == "written" else kind, new))
     out, at = [], 0
     for a, b, _, kind, new in sorted(found):
         if a >= at:
@@ -298,14 +429,14 @@ def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", kinds_col:
     def run(batches):
         forget_encoders()
         p = Permuter(key)
-        for b in batches:
-            texts, kinds = [], []
+        for b, _ in slices(batches, place):
+            new, kinds = [], []
             for t in b.column(place).to_pylist():
-                new, k = (None, []) if t is None else replace(p, t)
-                texts.append(new)
+                x, k = (None, []) if t is None else replace(p, t)
+                new.append(x)
                 kinds.append(k)
             columns = list(b.columns)
-            columns[place] = pa.array(texts, pa.string())
+            columns[place] = pa.array(new, pa.string())
             if kinds_col:
                 columns.append(pa.array(kinds, pa.list_(pa.string())))
             yield pa.RecordBatch.from_arrays(columns, names=[*names, out_kinds] if kinds_col else names)

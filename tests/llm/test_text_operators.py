@@ -2,6 +2,7 @@
 
 import collections
 import glob
+import ipaddress
 import math
 import os
 import random
@@ -499,6 +500,49 @@ def test_pii_dates_of_every_order_and_width():
     assert len({pii.replace(p, v)[0] for v in found}) == len(found) > 366 and all(pii.replace(p, v)[0] != v for v in found)
 
 
+def luhn_valid(digits):
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def test_pii_pseudonyms_are_valid_by_their_own_rules():
+    """Checked with rules written here and the standard library, not with the operator's."""
+    p, rnd = pii.Permuter(b"key"), random.Random(4)
+    one = lambda v: pii.replace(p, v)[0]
+    for _ in range(60):
+        body = "".join(rnd.choices("0123456789", k=15))
+        card = next(body + d for d in "0123456789" if luhn_valid(body + d))
+        new = one(card)
+        assert new != card and len(new) == 16 and luhn_valid(new) and one(f"{card[:4]} {card[4:8]} {card[8:12]} {card[12:]}").replace(" ", "") == new
+        ip = ".".join(str(rnd.randrange(256)) for _ in range(4))
+        assert str(ipaddress.IPv4Address(one(ip))) == one(ip) != ip
+        ip = str(ipaddress.IPv6Address(rnd.getrandbits(128)))
+        assert str(ipaddress.IPv6Address(one(ip))) == one(ip) != ip
+        bban = "".join(rnd.choices("0123456789", k=18))
+        iban = f"DE{98 - int(bban + '131400') % 97:02d}{bban}"
+        assert re.fullmatch(r"DE\d{20}", one(iban)) and int(one(iban)[4:] + "1314" + one(iban)[2:4]) % 97 == 1 and one(iban) != iban
+        assert one(f"{iban} AND THEN") == f"{one(iban)} AND THEN"
+        hexes = "".join(rnd.choices("0123456789ABCDEF", k=32))
+        assert re.fullmatch(r"TOKEN = [0-9A-F]{32}", one(f"TOKEN = {hexes}")) and one(f"token={bban}")[6:].isdigit()
+
+
+def test_pii_links_one_number_in_all_layouts():
+    p = pii.Permuter(b"key")
+    digits = lambda v: re.sub(r"\D", "", pii.replace(p, v)[0])
+    for group in (["+49 30 1234567", "+49301234567", "+49-30-1234567", "+49 (30) 1234567"], ["+442071234567", "+44 20 7123 4567"], ["+1 (800) 555-0199", "+1 800 555 0199", "+18005550199", "1-800-555-0199"], ["+1 (017) 555-7713", "1 017-555-7713"]):
+        assert len({digits(v) for v in group}) == 1 and all(digits(v) != re.sub(r"\D", "", v) for v in group), group
+    assert digits("+1 (800) 555-0199")[1:] == digits("(800) 555-0199") and digits("+49 (0)30 1234567")[:2] + digits("+49 (0)30 1234567")[3:] == digits("+49 30 1234567")
+    many = [f"+49 30 {i:07d}" for i in range(0, 10**7, 40_009)] + [f"+49 {i:09d}" for i in range(300_000_000, 310_000_000, 40_009)]
+    assert len({digits(v) for v in many}) == len({re.sub(r"\D", "", v) for v in many})
+    for v in ("12 March 1990", "March 3rd, 2001", "3. März 1999", "14 juillet 1989", "5 de mayo de 2010", "MAY 5, 2010", "1st of May 2020", "2001:db8:85a3::8a2e:370:7334", "2001:0DB8:0:0:8:800:200C:417A", "fe80::1", "password: Hunter2x", "pwd=abcdefgh"):
+        new, kinds = pii.replace(p, f"x {v} y")
+        assert len(kinds) == 1 and v not in new and pii.replace(p, new, -1)[0] == f"x {v} y", v
+    for v in ("the secret: everything counts", "12:30:45", "a::b", "30 February 2020", "March 2nd", "::1 x".replace("::1", "::"), "token: Something"):
+        assert pii.replace(p, v) == (v, []), v
+    long = " ".join(["word"] * 300_000)
+    assert pii.replace(p, f"{long} 10.1.2.3 {long}")[0] == f"{long} {pii.replace(p, '10.1.2.3')[0]} {long}"
+
+
 def test_toxicity_finds_copies_without_marking_words(spark):
     rnd = random.Random(11)
     invent = lambda k: " ".join("".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(k))
