@@ -58,9 +58,9 @@ def _sketches(n: int, percent: int) -> Callable:
                 kept.append(s[: max(k, prefix_size(len(s), percent))] if len(s) else s)
             values = np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
+                batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array(low, pa.int64()), list_array(pa.array(values), np.array([len(k) for k in kept], np.int64)),
-            ], names=["doc_id", "n", "digest", "low", "grams"])
+            ], names=["doc_id", "text_hash", "n", "digest", "low", "grams"])
 
     return run
 
@@ -157,7 +157,7 @@ def _filters(percent: int) -> str:
 
 
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, nodes, labels): rows doc_id, n, digest; nodes node, digest, doc_id (the smallest of its rows); labels node, label of the linked nodes."""
+    """(rows, nodes, labels): rows doc_id, text_hash, n, digest; nodes node, digest, doc_id (the smallest of its rows); labels node, label of the linked nodes."""
     with Workspace(docs.sparkSession, "jaccard") as ws:
         return _similar_sets(docs, n, percent, id_col, text_col, ws)
 
@@ -165,8 +165,9 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "
 def _similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark = docs.sparkSession
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    wide, path = ws.kept(cols.mapInArrow(_sketches(n, percent), "doc_id long, n long, digest binary, low long, grams array<long>"), "sketches")
-    rows = staged(wide.select("doc_id", "n", "digest"), "rows")
+    hashed = cols.withColumn("text_hash", F.xxhash64("text"))
+    wide, path = ws.kept(hashed.mapInArrow(_sketches(n, percent), "doc_id long, text_hash long, n long, digest binary, low long, grams array<long>"), "sketches")
+    rows = staged(wide.select("doc_id", "text_hash", "n", "digest"), "rows")
     linked = wide.where("digest is not null and doc_id is not null")
     nodes, nodes_path = ws.kept(linked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("grams").alias("grams")).withColumn("node", F.monotonically_increasing_id()), "nodes")
     names = staged(nodes.select("node", "digest", "doc_id"), "names")
@@ -215,26 +216,32 @@ def _similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col:
     return rows, names, staged(labels, "labels")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row: documents link when 100 * intersection >= percent * union of their n-gram sets."""
+def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, label (of the linked sets; null without a set) for each row."""
     rows, nodes, labels = similar_sets(docs, n, percent, id_col, text_col)
     tagged = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = tagged.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    ids = tagged.join(least, "label").select("digest", "component_id")
-    out = rows.join(ids, "digest", "left")
+    ids = tagged.join(least, "label").select("digest", "label", "component_id")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return rows.join(ids, "digest", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), own.alias("component_id"), "label")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for each row: documents link when 100 * intersection >= percent * union of their n-gram sets."""
+    return _components(docs, n, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document has the smallest id of its group, with all their columns; equal rows stay once.
+    """One row of docs for each group of linked texts, one with the group's smallest id, with all its columns.
 
-    Rows without an id or without words stay.
+    Of several texts under that id the one with the smallest hash stays, of equal rows one. Rows without an id stay
+    all, and so does each text without words.
     """
-    groups = jaccard_components(docs, n, percent, id_col, text_col)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("kept_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    with_id = named.where("kept_id is not null").join(kept, "kept_id")
-    w = Window.partitionBy("kept_id", F.xxhash64(f"row.{text_col}"), F.md5(F.coalesce(f"row.{text_col}", F.lit("")))).orderBy("kept_id")
-    once = with_id.withColumn("k", F.row_number().over(w)).where("k = 1").select("row")
+    groups = _components(docs, n, percent, id_col, text_col)
+    first = groups.where("doc_id = component_id").groupBy("doc_id", "label", F.when(F.col("label").isNull(), F.col("text_hash")).alias("bare")).agg(F.min("text_hash").alias("kept_hash"))
+    kept = first.select(F.col("doc_id").alias("kept_id"), "kept_hash").distinct()
+    text = F.col(f"`{text_col}`").cast("string")
+    named = docs.select(F.col(id_col).cast("long").alias("kept_id"), F.xxhash64(text).alias("kept_hash"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    w = Window.partitionBy("kept_id", "kept_hash").orderBy(F.lit(1))
+    once = named.where("kept_id is not null").join(kept, ["kept_id", "kept_hash"]).withColumn("k", F.row_number().over(w)).where("k = 1").select("row")
     return once.unionByName(named.where("kept_id is null").select("row")).select("row.*")

@@ -296,15 +296,27 @@ def test_jaccard_components(docs, none, n, percent):
         assert ngram_join.jaccard_components(none, n, percent).isEmpty()
 
 
-def test_keep_one(docs):
+def kept_rows(rows, n, percent):
+    """Plain version of keep_one: for each group the texts of which one may stay."""
+    sets, groups = sets_of(rows, n), components(rows, n, percent)
+    clusters = {}
+    for (d, t), s, (_, _, c) in zip(rows, sets, groups, strict=True):
+        if d is not None and d == c:
+            clusters.setdefault((d, frozenset(s) if s else (t or "")), set()).add(t)
+    return clusters
+
+
+def test_keep_one(spark, none):
+    rows = [*corpus(), (3, corpus()[70][1])]  # a row whose text belongs to another group than its id's other text
+    docs = table(spark, rows)
     kept = ngram_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
-    groups = components(corpus(), 5, 80)
-    want = collections.Counter({(d, t): 1 for (d, t), (_, _, c) in zip(corpus(), groups, strict=True) if d is not None and d == c})
-    want.update((d, t) for d, t in corpus() if d is None)
     got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
-    # a second text under a kept id is kept with it
-    assert {k for k in got if k[0] != 1} == {k for k in want if k[0] != 1} and max(got.values()) == 1
+    want = kept_rows(rows, 5, 80)
+    assert collections.Counter(d for d, _ in got.elements() if d is not None) == collections.Counter(d for d, _ in want)
+    assert all(any(d == i and t in texts for (i, _), texts in want.items()) for d, t in got if d is not None) and max(got.values()) == 1
+    assert sorted(map(repr, (t for d, t in got if d is None))) == sorted(map(repr, (t for d, t in rows if d is None)))
+    assert ngram_join.keep_one(none).isEmpty()
 
 
 def test_bloom_loses_nothing(spark):
