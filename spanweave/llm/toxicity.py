@@ -13,7 +13,7 @@ neighbours are the evidence. Similarities are rounded to six places, so a score
 
 Defined results: null or wordless text, and text with no word of an example, gets the base rate and no evidence;
 labels that are null or belong to no document are not used, of several labels for a document the highest counts;
-without labels of both kinds the score is the smoothed share of toxic labels; ties between examples go to the
+without labels of both kinds the score is the smoothed share of toxic labels (a quarter without any); ties between examples go to the
 smaller place among the examples (by doc_id); rows with equal ids are scored apart; a null doc_id stays null; texts of
 any length are read whole; an empty table gives no rows; further columns are ignored, or kept by remove_toxic.
 """
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     for y in (0, 1):
         part = labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         picked = part if picked is None else picked.unionByName(part)
-    base, no = (share.get(1, 0) + 0.5) / (sum(share.values()) + 1), np.zeros(0, np.int64)
+    base, no = (share.get(1, 0) + 0.5) / (sum(share.values()) + 2), np.zeros(0, np.int64)
     model = Model([], pa.array([], pa.string()), np.zeros(0), 1.0, no, no, no, None, (1.0, 1.0), base, 1.0, neighbours)
     with Workspace(docs.sparkSession, "toxicity") as ws:
         # at most 2 * examples rows, whatever the size of labels; of several texts under an id one is taken
