@@ -6,6 +6,8 @@ All but the last keep the columns of documents; the last returns the pieces of p
 
 from __future__ import annotations
 
+import logging
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+#: The session's setting that holds the secret key of the pseudonyms.
+KEY_SETTING = "spark.spanweave.piiKey"
+
+
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts."""
-    return pii.pseudonymise(docs, PII_KEY)
+    """Replaces personal data in the texts. Without a key in the session's settings the public one of the tests is
+    used, with a warning: whoever knows the key can turn pseudonyms back."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        logging.getLogger(__name__).warning("%s is not set: pseudonyms are made with a public key", KEY_SETTING)
+    return pii.pseudonymise(docs, key.encode() if key else PII_KEY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +58,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL can express the tokenizer or the learned scores; tests hold the stages against brute force.
+#: No SQL can express the tokenizer or the learned scores; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
