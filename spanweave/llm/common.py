@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import re
 import tempfile
@@ -97,12 +99,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of stages whose result has been written."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def trim_memory() -> None:
+    """Gives freed memory of large arrays back to the system, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def plain_strings(col) -> pa.Array:
     """A string column with nulls as empty strings."""
     if isinstance(col, pa.ChunkedArray):

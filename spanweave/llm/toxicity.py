@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, list_array, slices
+from .common import Workspace, fresh, list_array, release_shuffles, slices, trim_memory
 from .shingles import shingle_sets
 from .tokenizing import forget_encoders
 
@@ -43,7 +43,7 @@ LEAST_TEXTS = 3
 #: Examples of a block, and the words whose lists are read by blocks.
 BLOCK, COMMON = 64, 512
 #: Texts that the index searches at once.
-QUERIES = 256
+QUERIES = 128
 #: Examples left out in turn to choose factor and shrinkage.
 TRIALS = 800
 FACTORS, SHRINKS = (1.0, 2.0, 4.0, 8.0, 16.0), (0.05, 0.2, 0.5, 1.0, 2.0)
@@ -86,11 +86,10 @@ class BlockMaxIndex:
         self.slot = np.full(terms, -1, np.int32)
         self.slot[often] = np.arange(len(often))
         slot = self.slot[term]
-        dense = slot >= 0
+        dense = np.flatnonzero(slot >= 0)
         # examples of one language and length side by side make tight bounds
         lead = np.full(count, -1)
-        heavy = np.flatnonzero(dense)
-        heavy = heavy[np.lexsort((weight[heavy], row[heavy]))]
+        heavy = dense[np.argsort(weight[dense], kind="stable")]
         lead[row[heavy]] = slot[heavy]  # the last one written is the heaviest
         self.order = np.lexsort((np.bincount(row, minlength=count), lead)).astype(np.int32)
         self.place = np.empty(count, np.int32)
@@ -99,9 +98,9 @@ class BlockMaxIndex:
         self.dense[self.place[row[dense]], slot[dense]] = weight[dense]
         self.first = np.arange(0, count, block)
         self.most = np.maximum.reduceat(self.dense, self.first, axis=0) if count else self.dense
-        rare = np.flatnonzero(~dense)
+        rare = np.flatnonzero(slot < 0)
         rare = rare[np.argsort(term[rare], kind="stable")]
-        self.start = np.searchsorted(term[rare], np.arange(terms + 1)).astype(np.int64)
+        self.start = np.searchsorted(term[rare], np.arange(terms + 1)).astype(np.int32)
         self.at, self.weight = self.place[row[rare]], weight[rare].astype(np.float32)
 
     def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,14 +114,16 @@ class BlockMaxIndex:
             parts.append(self._batch(row[i:j] - a, term[i:j], weight[i:j], min(QUERIES, n - a), k, None if skip is None else skip[a : a + QUERIES]))
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
-    def _batch(self, row, term, weight, n: int, k: int, skip) -> tuple[np.ndarray, np.ndarray]:
-        slot = self.slot[term]
+    def _batch(self, row, term, weight, n: int, wanted: int, skip) -> tuple[np.ndarray, np.ndarray]:
+        k, slot = wanted, self.slot[term]
         rare = slot < 0
         query = np.zeros((n, self.dense.shape[1]), np.float32)
         query[row[~rare], slot[~rare]] = weight[~rare]
-        postings, many = ranges(self.start[term[rare]], self.start[term[rare] + 1])
-        score = np.bincount(np.repeat(row[rare] * self.count, many) + self.at[postings], np.repeat(weight[rare], many) * self.weight[postings], n * self.count)
-        score = score.astype(np.float32).reshape(n, self.count)
+        postings, many = ranges(self.start[term[rare]].astype(np.int64), self.start[term[rare] + 1].astype(np.int64))
+        weights = np.repeat(weight[rare].astype(np.float32), many)
+        weights *= self.weight[postings]
+        score = np.bincount(np.repeat(row[rare] * self.count, many) + self.at[postings], weights, n * self.count).astype(np.float32).reshape(n, self.count)
+        del postings, weights
         if skip is not None:
             score[np.arange(n), self.place[skip]] = -1e9
         bound = np.maximum.reduceat(score, self.first, axis=1) + query @ self.most.T
@@ -140,11 +141,12 @@ class BlockMaxIndex:
             todo = ~done & (bound + 1e-5 >= least[:, None]) & (bound > 0)
         # by similarity to six places, then by example
         held = np.where(held > 0, np.rint(held * 1e6), 0).astype(np.int64) * (self.count + 1) + (self.count - self.order)
-        top = np.argpartition(-held, min(k, self.count) - 1, axis=1)[:, :k]
-        best = -np.sort(-np.take_along_axis(held, top, axis=1), axis=1)
-        out = np.zeros((n, k)), np.zeros((n, k), np.int64)
+        k = min(k, self.count)
+        held.partition(self.count - k, axis=1)
+        best = -np.sort(-held[:, self.count - k :], axis=1)
+        out = np.zeros((n, wanted)), np.zeros((n, wanted), np.int64)
         near, example = np.divmod(best, self.count + 1)
-        out[0][:, : near.shape[1]], out[1][:, : near.shape[1]] = np.minimum(near / 1e6, 1.0), self.count - example
+        out[0][:, :k], out[1][:, :k] = np.minimum(near / 1e6, 1.0), self.count - example
         return out
 
 
@@ -195,6 +197,10 @@ def _words(batches):
         low = [s[:4].view(np.int64).tolist() for s in shingle_sets(texts, 5)]
         names, row, word, number = words_of(texts)
         many = np.bincount(row, minlength=len(texts))
+        # words in alphabetical order: equal examples have equal lists
+        rank = np.argsort(pc.sort_indices(names).to_numpy())
+        order = np.lexsort((rank[word], row))
+        word, number = word[order], number[order]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(names.take(pa.array(word)), many), list_array(pa.array(number.astype(np.int32)), many), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "counts", "low"])
 
 
@@ -258,28 +264,17 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, neighbours
     with Workspace(docs.sparkSession, "toxicity") as ws:
         # at most 2 * examples rows, whatever the size of labels; of several texts under an id one is taken
         found = cols.join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_words, "doc_id long, toxic int, words array<string>, counts array<int>, low array<long>")
-        found = ws.staged(found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words", "counts")).alias("x")).select("doc_id", "toxic", "x.low", "x.words", "x.counts"), "examples")
-        rows = found.orderBy("doc_id").toArrow().combine_chunks()
-        if rows.column("toxic").value_counts().__len__() < 2:
-            return model
-        _learn(model, rows, share, cols, found, ws)
+        found = found.groupBy("doc_id", "toxic").agg(F.min(F.struct("low", "words", "counts")).alias("x")).select("doc_id", "toxic", "x.low", "x.words", "x.counts")
+        found = ws.staged(found.withColumn("same", F.sha2(F.to_json(F.struct("toxic", "words", "counts")), 256)), "examples")
+        if found.select("toxic").distinct().count() == 2:
+            _learn(model, share, cols, found, ws)
+    release_shuffles(docs.sparkSession)
+    trim_memory()
     return model
 
 
-def _learn(model: Model, rows: pa.Table, share: dict, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
-    """Document frequencies over all documents, the examples' vectors, the factor of the marking words, and shrinkage."""
-    label, ids = rows.column("toxic").to_numpy(), rows.column("doc_id").to_numpy()
-    model.weights = tuple(share[c] / int((label == c).sum()) for c in (0, 1))
-    words, counts = rows.column("words").combine_chunks(), rows.column("counts").combine_chunks()
-    many = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    row, term, number = np.repeat(np.arange(len(label)), many), coded.indices.to_numpy().astype(np.int64), counts.flatten().to_numpy()
-    model.words, terms = coded.dictionary, len(coded.dictionary)
-    alone = distinct_examples(label.tolist(), rows.column("low").to_pylist())
-    held = [np.bincount(term[(alone & (label == y))[row]], minlength=terms) for y in (0, 1)]
-    marks = choose_words(held[1], held[0], int((alone & (label == 1)).sum()), int((alone & (label == 0)).sum()))
-    model.vocabulary = sorted(model.words.take(pa.array(marks)).to_pylist())
-    # document frequencies; the examples' words come to the driver
+def _document_frequencies(model: Model, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
+    """The idf of the examples' words (which come to the driver), and the mean square of that of the others."""
     n = cols.count()
     df = cols.select("text").mapInArrow(_frequencies, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     own = found.select(F.explode("words").alias("word")).distinct().withColumn("own", F.lit(1))
@@ -287,39 +282,65 @@ def _learn(model: Model, rows: pa.Table, share: dict, cols: DataFrame, found: Da
     other = df.where("own is null").agg(F.sum(F.col("n") * F.col("idf") * F.col("idf")) / F.sum("n")).first()[0]
     model.unknown = float(other) if other else (math.log(n + 1) + 1) ** 2
     known = df.where("own = 1").select("word", "idf").toArrow()
-    plain = np.full(terms, math.log(n + 1) + 1)
-    plain[pc.index_in(known["word"], value_set=model.words).to_numpy()] = known["idf"].to_numpy()
+    order = pc.sort_indices(known["word"])
+    model.words, model.idf = known["word"].take(order).combine_chunks(), known["idf"].take(order).to_numpy()
+
+
+def _vectors(model: Model, found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (example, term, number) of the examples in the order of their ids, and which of them share no shingle with one before."""
+    rows = found.orderBy("doc_id").select("doc_id", "toxic", "low", "same", "words", "counts").toArrow()
+    label, words = rows.column("toxic").to_numpy(), rows.column("words").combine_chunks()
+    alone = distinct_examples(label.tolist(), rows.column("low").to_pylist())
+    many = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+    term = pc.index_in(words.flatten(), value_set=model.words).to_numpy(zero_copy_only=False).astype(np.int32)
+    number = rows.column("counts").combine_chunks().flatten().to_numpy().astype(np.int32)
     # equal examples of a label are one, with their number as weight
-    sort = np.lexsort((term, row))
-    term, number = term[sort], number[sort]
-    ends, groups = np.cumsum(many), {}
-    for i, (a, b) in enumerate(zip((ends - many).tolist(), ends.tolist(), strict=True)):
-        groups.setdefault((int(label[i]), term[a:b].tobytes(), number[a:b].tobytes()), []).append(i)
+    groups: dict[str, list[int]] = {}
+    for i, same in enumerate(rows.column("same").to_pylist()):
+        groups.setdefault(same, []).append(i)
     kept = np.array([g[0] for g in groups.values()])
-    model.ids, model.labels, model.copies = ids[kept], label[kept].astype(np.int64), np.array([len(g) for g in groups.values()])
-    del groups
+    model.weights = tuple(model.weights[y] / int((label == y).sum()) for y in (0, 1))
+    model.ids, model.labels, model.copies = rows.column("doc_id").to_numpy()[kept].copy(), label[kept].astype(np.int64), np.array([len(g) for g in groups.values()])
+    ends = np.cumsum(many, dtype=np.int64)
     take, size = ranges((ends - many)[kept], ends[kept])
-    row, term, number = np.repeat(np.arange(len(kept)), size), term[take], number[take]
+    row, term, number = np.repeat(np.arange(len(kept), dtype=np.int32), size), term[take], number[take]
+    return row, term, number, alone[kept]
+
+
+def _learn(model: Model, share: dict, cols: DataFrame, found: DataFrame, ws: Workspace) -> None:
+    """Document frequencies over all documents, the examples' vectors, the factor of the marking words, and shrinkage."""
+    _document_frequencies(model, cols, found, ws)
+    model.weights = share[0], share[1]
+    row, term, number, alone = _vectors(model, found)
+    trim_memory()
+    terms, count, plain = len(model.words), len(model.ids), model.idf
+    size = np.bincount(row, minlength=count)
+    held = [np.bincount(term[(alone & (model.labels == y))[row]], minlength=terms) for y in (0, 1)]
+    marks = choose_words(held[1], held[0], int((alone & (model.labels == 1)).sum()), int((alone & (model.labels == 0)).sum()))
+    model.vocabulary = sorted(model.words.take(pa.array(marks)).to_pylist())
     # some of each label, dealt evenly
     trial = np.concatenate([own[:: max(1, -(-2 * len(own) // TRIALS))] for y in (0, 1) for own in [np.flatnonzero(model.labels == y)]])
-    weight = np.zeros(len(kept))
+    weight = np.zeros(count)
     for y, part in enumerate(model.weights):
         mine = model.labels == y
         weight[mine] = part * model.copies[mine] * model.copies[mine].sum() / max(1, model.copies[trial][model.labels[trial] == y].sum())
     entries, sizes = ranges((np.cumsum(size) - size)[trial], np.cumsum(size)[trial])
     asked, best = np.repeat(np.arange(len(trial)), sizes), None
+    number = (1 + np.log(number)).astype(np.float32)
     for factor in FACTORS if len(marks) else FACTORS[:1]:
         model.idf = plain.copy()
         model.idf[marks] *= factor
-        value = (1 + np.log(number)) * model.idf[term]
-        value /= np.sqrt(np.maximum(1e-12, np.bincount(row, np.square(value), len(kept))))[row]
-        model.index = BlockMaxIndex(row, term, value, len(kept), terms)
+        value = number * model.idf.astype(np.float32)[term]
+        value /= np.sqrt(np.maximum(1e-12, np.bincount(row, np.square(value), count))).astype(np.float32)[row]
+        model.index = None
+        model.index = BlockMaxIndex(row, term, value, count, terms)
         near = model.index.nearest(asked, term[entries], value[entries], len(trial), model.neighbours, skip=trial)
         for m in SHRINKS:
             p = np.clip(model.vote(*near, m), 1e-9, 1 - 1e-9)
             loss = -(weight[trial] * np.log(np.where(model.labels[trial] == 1, p, 1 - p))).sum()
             if best is None or loss < best[0]:
                 best = (loss, m, model.idf, model.index)
+        trim_memory()
     _, model.shrink, model.idf, model.index = best
 
 
