@@ -8,11 +8,16 @@ MinHash values is that of a window (each hash function is a band of its own). A
 containment 0.8 has a Jaccard similarity of at least 0.25 with some window, so with 64 functions it is missed with a
 chance of 1e-8. Every candidate is verified by exact shingle containment over the whole document.
 
-The benchmark is the stated query set: it is handled in blocks of at most `block` items, each broadcast and matched
-against all documents.
+An item that repeats itself has far fewer shingles than places, so that its windows would be much wider than its set:
+of such items (less than half as many) enough shingles are looked up exactly that any document which contains 0.8 of
+them holds one. An item whose shingles lie scattered over a long document is found with a lower probability.
 
-Defined results: null or wordless texts and items contain nothing and are contained in nothing; rows with equal ids
-are matched apart; an empty table gives no rows; further columns are ignored or, in a filter, kept.
+The benchmark is the stated query set: its different texts are handled in blocks of about `block` items and
+`BLOCK_BYTES` bytes at most, each broadcast and matched against all documents; equal items are matched once.
+
+Defined results: null or wordless texts and items contain nothing and are contained in nothing; an item of fewer words
+than a shingle is contained in documents of just these words; rows with equal ids are matched apart; texts of any
+length are read whole; an empty table gives no rows; further columns are ignored or, in a filter, kept.
 """
 
 from __future__ import annotations
@@ -32,8 +37,8 @@ FUNCTIONS = 64
 _rng = np.random.default_rng(977)
 FACTORS = (_rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 OFFSETS = _rng.integers(0, 2**32, FUNCTIONS, dtype=np.uint64).astype(np.uint32)
-#: Items handled in one pass.
-BLOCK = 20_000
+#: Items and bytes of items handled in one pass.
+BLOCK, BLOCK_BYTES = 20_000, 16 << 20
 
 
 def rolling(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +69,15 @@ class Index:
         ends = np.cumsum(size)
         self.sets = [np.unique(rolls[e - s : e]) for s, e in zip(size, ends, strict=True)]
         by_step: dict[int, list[int]] = {}
+        exact: list[tuple[int, int]] = []  # shingles of items that repeat themselves
         for i, s in enumerate(size.tolist()):
-            if s:
+            own = self.sets[i]
+            if 2 * len(own) < s:
+                exact += [(int(x), i) for x in own[: len(own) - -(-percent * len(own) // 100) + 1]]
+            elif s:
                 by_step.setdefault(max(2, 1 << (s - 1).bit_length()) // 2, []).append(i)
+        exact.sort()
+        self.exact = np.array([x for x, _ in exact], np.uint64), np.array([i for _, i in exact], np.int64)
         self.classes = []  # (window step, for each function: prefilter, sorted values, items)
         for step, items in sorted(by_step.items()):
             lows = [self.sets[i].astype(np.uint32) for i in items]
@@ -82,10 +93,14 @@ class Index:
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(text, item, shared shingles) with enough containment."""
         rolls, size = rolling(texts, self.n)
-        if not len(rolls) or not self.classes:
+        if not len(rolls) or not self.classes and not len(self.exact[0]):
             return []
         low, ends = rolls.astype(np.uint32), np.cumsum(size)
         pairs: set[tuple[int, int]] = set()
+        if len(self.exact[0]):
+            at, upto = (np.searchsorted(self.exact[0], rolls, side) for side in ("left", "right"))
+            for h in np.flatnonzero(upto > at).tolist():
+                pairs.update((int(np.searchsorted(ends, h, "right")), int(x)) for x in self.exact[1][at[h] : upto[h]])
         for k in range(FUNCTIONS):
             level, width = low * FACTORS[k] + OFFSETS[k], 1
             for step, tables in self.classes:
@@ -122,13 +137,21 @@ class Index:
         return out
 
 
-def _blocks(bench: DataFrame, n: int, percent: int, block: int, item_col: str, text_col: str) -> Iterator[Index]:
-    """The benchmark in blocks of about `block` items; each is small whatever the table's size."""
-    rows = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
-    many = -(-rows.count() // block)
+def _keyed(bench: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item_id, text, key: equal texts have equal keys."""
+    rows = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return rows.withColumn("key", F.md5("text"))
+
+
+def _blocks(keyed: DataFrame, n: int, percent: int, block: int) -> Iterator[Index]:
+    """The different texts of the benchmark in blocks; each is small whatever the table's size."""
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text"))
+    total = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    # half of the limit on average, as a hash deals them
+    many = max(-(-total.n // block), -(-2 * total.bytes // BLOCK_BYTES))
     for i in range(many):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == i).collect()
-        yield Index([r.item_id for r in part], [r.text for r in part], n, percent)
+        part = texts.where(F.pmod(F.xxhash64("key"), F.lit(many)) == i).collect()
+        yield Index([r.key for r in part], [r.text for r in part], n, percent)
 
 
 def _pairs(index: Index) -> Callable:
@@ -137,8 +160,8 @@ def _pairs(index: Index) -> Callable:
             got = index.matches(texts)
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([
-                ids.take(pa.array([t for t, _, _ in got], pa.int64())), pa.array([index.ids[x] for _, x, _ in got], pa.int64()), pa.array([c for _, _, c in got], pa.int64()), pa.array([len(index.sets[x]) for _, x, _ in got], pa.int64()),
-            ], names=["doc_id", "item_id", "n_common", "n_item"])
+                ids.take(pa.array([t for t, _, _ in got], pa.int64())), pa.array([index.ids[x] for _, x, _ in got], pa.string()), pa.array([c for _, _, c in got], pa.int64()), pa.array([len(index.sets[x]) for _, x, _ in got], pa.int64()),
+            ], names=["doc_id", "key", "n_common", "n_item"])
 
     return run
 
@@ -146,13 +169,14 @@ def _pairs(index: Index) -> Callable:
 def contaminated(docs: DataFrame, bench: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_common, n_item, containment: each document and item of which it contains enough."""
     cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for index in _blocks(bench, n, percent, block, item_col, item_text_col):
-        part = cols.mapInArrow(_pairs(index), "doc_id long, item_id long, n_common long, n_item long")
+    keyed, out = _keyed(bench, item_col, item_text_col), None
+    for index in _blocks(keyed, n, percent, block):
+        part = cols.mapInArrow(_pairs(index), "doc_id long, key string, n_common long, n_item long")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_common long, n_item long")
-    return out.withColumn("containment", F.col("n_common") / F.col("n_item"))
+        out = docs.sparkSession.createDataFrame([], "doc_id long, key string, n_common long, n_item long")
+    named = out.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id", "n_common", "n_item")
+    return named.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 
 def _clean(index: Index, text: str, drop: bool) -> Callable:
@@ -169,7 +193,7 @@ def _clean(index: Index, text: str, drop: bool) -> Callable:
 def remove_contaminated(docs: DataFrame, bench: DataFrame, n: int = 5, percent: int = 80, block: int = BLOCK, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that contain no item, with all their columns."""
     probe = fresh(docs.columns, "probe_text")
-    for index in _blocks(bench, n, percent, block, item_col, item_text_col):
+    for index in _blocks(_keyed(bench, item_col, item_text_col), n, percent, block):
         schema = docs.schema
         docs = docs.withColumn(probe, F.col(text_col).cast("string")).mapInArrow(_clean(index, probe, True), schema)
     return docs
