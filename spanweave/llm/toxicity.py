@@ -350,6 +350,7 @@ SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, simil
 def _score(model: Model, evidence: int) -> Callable:
     def run(batches):
         forget_encoders()
+        trim_memory()  # a worker keeps what it needed for the task before
         for batch, texts in slices(batches, "text", TEXT_BYTES):
             scores, near, examples = model.score(texts)
             near, examples = near[:, :evidence], examples[:, :evidence]
@@ -374,6 +375,7 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col
 
     def run(batches):
         forget_encoders()
+        trim_memory()  # a worker keeps what it needed for the task before
         for batch, texts in slices(batches, probe, TEXT_BYTES):
             out = batch.filter(pa.array(model.score(texts)[0] < threshold))
             yield out if plain else out.drop_columns([probe])
