@@ -2,7 +2,8 @@
 
 Rules come first: a rule like `example.net/en/` fits its host and all subdomains where the path starts with the
 rule's; the longest that fits decides. URLs that a rule decides are the accepted and rejected URLs from which the two
-models learn, and so are URLs whose host holds one of the seed words (rejected), unless a rule decides them.
+models learn, and so are URLs whose host has one of the seed words as a label or between hyphens (rejected), unless a
+rule decides them: weak labels, as a word says little of a page.
 
 Model: characters of host and path, folded to 40 symbols, with up to three characters of context. Witten-Bell
 smoothing mixes each order with the next shorter one by the number of different continuations; an unseen context
@@ -10,24 +11,30 @@ falls back wholly, so the order varies. The score of a URL is the mean differenc
 minus accepted). It is calibrated on the labelled URLs, each scored by a model without its own half of the URLs: the
 logistic curve of two normal densities with common variance. A probability of rejection over one half blocks.
 
-The table of scored 4-grams is broadcast: it has at most 41^4 (2.8 million) rows of 12 characters and a few numbers
-by construction, however many URLs there are. All counts cover all URLs.
+The counts of 4-grams are one table of at most 41^4 (2.8 million) rows for each model by construction, however many
+URLs there are; it is written once, and so are the scores. Sums by shorter grams and by contexts are aggregates of it
+(at most 41^3 rows for each model) that are broadcast; the scored 4-grams are broadcast if their number, which is
+checked, is at most `BROADCAST_ROWS`, else joined by key. All counts cover all URLs.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no rule and is allowed (it has no
 characters); without accepted and rejected URLs to learn from all other URLs are allowed; equal rows are judged
-apart; an empty table gives no rows; further columns are ignored.
+apart; URLs of any length are read whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 # The rules and their verdicts; words in hosts that mark unwanted URLs.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 SEEDS = ["ads", "adult", "bets", "casino", "pills", "porn", "spam", "xxx"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER, SYMBOLS = 3, 40
+#: Most scored 4-grams that are broadcast (some 50 bytes each).
+BROADCAST_ROWS = 1_000_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -53,7 +60,7 @@ def _labelled(pages: DataFrame, rules: dict[str, str], seeds: list[str], id_col:
     df = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     df = df.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(*(F.when(F.col("rule") == r, F.lit(int(v == "block"))) for r, v in rules.items())) if rules else F.lit(None).cast("int")
-    seed = F.when(F.col("host").rlike("|".join(seeds)), F.lit(1)) if seeds else F.lit(None).cast("int")
+    seed = F.when(F.col("host").rlike(rf"(?:^|[.-])(?:{'|'.join(seeds)})(?:[.-]|$)"), F.lit(1)) if seeds else F.lit(None).cast("int")
     text = F.concat("host", "path")
     chars = F.regexp_replace(F.translate(text, UPPER, LOWER), r"[^a-z0-9./-]", "*")
     fold = F.ascii(F.substring(F.md5(text), 1, 1)) % 2
@@ -72,37 +79,39 @@ def model(labelled: DataFrame) -> DataFrame:
     n = lambda y, f: F.count(F.when((F.col("y") == y) & (F.col("fold") == f), 1))
     counts = _grams(labelled, "y", "fold").groupBy("g").agg(n(0, 0).alias("a0"), n(0, 1).alias("a1"), n(1, 0).alias("r0"), n(1, 1).alias("r1"))
     kinds = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(y).alias("y"), F.expr(e).alias("n")) for m, y, e in ((0, 0, "a1"), (1, 0, "a0"), (2, 0, "a0 + a1"), (0, 1, "r1"), (1, 1, "r0"), (2, 1, "r0 + r1"))))
-    t = counts.select("g", F.explode(kinds).alias("k")).select("g", "k.m", "k.y", "k.n")
-
-    def sums(t: DataFrame, order: int) -> DataFrame:
-        """Adds n{order}: count of the context and character; h{order}, t{order}: count and different continuations of the context."""
-        start = ORDER - order + 1
-        gram, context = F.expr(f"substring(g, {start}, {order + 1})"), F.expr(f"substring(g, {start}, {order})")
-        by = Window.partitionBy("m", "y", gram)
-        t = t.withColumn(f"n{order}", F.sum("n").over(by)).withColumn("nth", F.row_number().over(by.orderBy("g")))
-        over = Window.partitionBy("m", "y", context)
-        return t.withColumn(f"h{order}", F.sum("n").over(over)).withColumn(f"t{order}", F.sum(F.when((F.col("nth") == 1) & (F.col(f"n{order}") > 0), 1).otherwise(0)).over(over)).drop("nth")
-
+    t = staged(counts.select("g", F.explode(kinds).alias("k")).select("g", "k.m", "k.y", "k.n"), "url-grams")
+    out = t
     for order in range(ORDER + 1):
-        t = sums(t, order)
+        # n{order}: count of context and character; h{order}, t{order}: count and different continuations of the context
+        gram = F.expr(f"substring(g, {ORDER - order + 1}, {order + 1})")
+        sums = t.groupBy("m", "y", gram.alias("gram")).agg(F.sum("n").alias(f"n{order}"))
+        context = sums.groupBy("m", "y", F.expr(f"substring(gram, 1, {order})").alias("context")).agg(F.sum(f"n{order}").alias(f"h{order}"), F.sum(F.when(F.col(f"n{order}") > 0, 1).otherwise(0)).alias(f"t{order}"))
+        out = out.withColumn("gram", gram).withColumn("context", F.expr(f"substring(gram, 1, {order})"))
+        if order < ORDER:  # at most 6 * 41^3 rows
+            out = out.join(F.broadcast(sums), ["m", "y", "gram"])
+        else:  # a whole 4-gram is its own sum
+            out = out.withColumn(f"n{order}", F.col("n"))
+        out = out.join(F.broadcast(context), ["m", "y", "context"]).drop("gram", "context")  # at most 6 * 41^3 rows
     p = (F.col("n0") + 1.0) / (F.col("h0") + float(SYMBOLS + 1))
     for order in range(1, ORDER + 1):
         mixed = (F.col(f"n{order}") + F.col(f"t{order}") * p) / (F.col(f"h{order}") + F.col(f"t{order}"))
         p = F.when(F.col(f"h{order}") > 0, mixed).otherwise(p)
-    return t.withColumn("lp", F.log(p)).groupBy("g", "m").agg(F.sum(F.when(F.col("y") == 1, F.col("lp")).otherwise(-F.col("lp"))).alias("llr"))
+    return out.withColumn("lp", F.log(p)).groupBy("g", "m").agg(F.sum(F.when(F.col("y") == 1, F.col("lp")).otherwise(-F.col("lp"))).alias("llr"))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] | None = None, seeds: list[str] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, score (mean log-likelihood difference; null without characters), probability of rejection."""
     rules, seeds = RULES if rules is None else rules, SEEDS if seeds is None else seeds
     labelled = _labelled(pages, rules, seeds, id_col, url_col)
-    table = F.broadcast(model(labelled).groupBy("g").pivot("m", [0, 1, 2]).agg(F.first("llr")).select("g", F.struct(F.col("0").alias("l0"), F.col("1").alias("l1"), F.col("2").alias("l2")).alias("l")))
+    table = staged(model(labelled).groupBy("g").pivot("m", [0, 1, 2]).agg(F.first("llr")).select("g", F.struct(F.col("0").alias("l0"), F.col("1").alias("l1"), F.col("2").alias("l2")).alias("l")), "url-model")
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
     keys = ["row", "page_id", "host", "path", "rule", "y"]
     # an own model for labelled URLs; the half that a URL is in is not in its model
     own = F.when(F.col("y").isNull(), F.col("l.l2")).when(F.col("fold") == 0, F.col("l.l0")).otherwise(F.col("l.l1"))
     scored = _grams(labelled, *keys, "fold").join(table, "g").groupBy(*keys).agg(F.avg(own).alias("score"))
     bare = labelled.where(F.length("chars") <= ORDER).select(*keys, F.lit(None).cast("double").alias("score"))
-    rows = scored.unionByName(bare)
+    rows = staged(scored.unionByName(bare), "url-scores")
     # one row of means and variances, as a scalar subquery
     part = rows.where("y is not null and score is not null").agg(*(f(F.when(F.col("y") == y, F.col("score"))).alias(f"{n}{y}") for y in (0, 1) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))))
     spread = F.greatest((F.col("n0") * F.col("var0") + F.col("n1") * F.col("var1")) / (F.col("n0") + F.col("n1")), F.lit(1e-6))
@@ -125,7 +134,7 @@ d as (select *, case when (host = 'example.net' or ends_with(host, '.example.net
                      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/fr/') then 'org/fr/'
                      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/') then 'net/' end as rule from c),
 e as (select *, case when rule in ('net/', 'example.com/de/') then 1 when rule is not null then 0
-                     when regexp_matches(host, 'ads|adult|bets|casino|pills|porn|spam|xxx') then 1 end as y,
+                     when regexp_matches(host, '(?:^|[.-])(?:ads|adult|bets|casino|pills|porn|spam|xxx)(?:[.-]|$)') then 1 end as y,
              ascii(substr(md5(host || path), 1, 1)) % 2 as fold,
              '^^^' || regexp_replace(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9./-]', '*', 'g') as chars from d),
 f as (select row, y, fold, substr(chars, i, 4) as g from (select row, y, fold, chars, unnest(range(1, length(chars) - 2)) as i from e)),

@@ -12,7 +12,7 @@ from spanweave.llm import ann, url_filter
 
 URLS = [
     "https://www.Example.NET/en/1?x=1", "http://a.example.com/de/", "https://example.org/fr/x#y", "https://example.org/fr", "http://x.net", "http://x.net/", "http://net/a", "https://sub.example.net/de/2", None, "", "no scheme/at/all",
-    "ftp://a.b/c://d", "://", "http://", "https://badexample.com/de/1", "https://cheap-pills.example.com/en/3", "http://cheap-pills.example.org/es/3", "https://ok.example.org/es/4?q=/fr/", "https://ok.example.org/fr/5", "HTTP://UPPER.ORG/FR/6", "http://ünï.example.org/fr/7", "http://a b.org/en/ x",
+    "ftp://a.b/c://d", "://", "http://", "https://badexample.com/de/1", "https://cheap-pills.example.com/en/3", "http://cheap-pills.example.org/es/3", "https://ok.example.org/es/4?q=/fr/", "https://ok.example.org/fr/5", "HTTP://UPPER.ORG/FR/6", "http://ünï.example.org/fr/7", "http://a b.org/en/ x", "http://downloads.example.org/x", "https://alphabets.example.org/es/1", "https://ads.example.org/es/1", "https://my-ads.example.org/es/1", "https://roads.example.org/" + "long/" * 4000,
 ]
 
 
@@ -31,10 +31,20 @@ def test_urls(spark):
     assert (by[4].rule, by[5].rule, by[11].host, by[11].path) == (None, "net/", "a.b", "/c://d")
     assert by[8].host == "" and by[8].verdict == "allow"
     assert url_filter.judge(df.limit(0)).isEmpty()
+    labelled = {r.host: r.y for r in url_filter._labelled(df, url_filter.RULES, url_filter.SEEDS, "page_id", "url").collect()}
+    assert [labelled[f"{h}.example.org"] for h in ("downloads", "alphabets", "ads", "my-ads", "roads")] == [None, None, 1, 1, None]
     plain = url_filter.judge(df, rules={}, seeds=[]).toPandas()
     assert set(plain.verdict) == {"allow"} and plain.rule.isna().all()
 
 
+def test_urls_without_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 2)], "page_id long, url string")
+    verdicts = lambda: sorted((r.page_id, r.verdict, round(r.score or 0, 9)) for r in url_filter.judge(df).collect())
+    one = verdicts()
+    monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+    assert verdicts() == one
+
+
 def test_model_is_a_distribution(spark):
     """Over the whole alphabet the probabilities of a seen context add up to one at most."""
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
