@@ -43,7 +43,7 @@ LEAST_TEXTS = 3
 #: Examples of a block, and the words whose lists are read by blocks.
 BLOCK, COMMON = 64, 512
 #: Texts that the index searches at once.
-QUERIES = 128
+QUERIES = 64
 #: Examples left out in turn to choose factor and shrinkage.
 TRIALS = 800
 FACTORS, SHRINKS = (1.0, 2.0, 4.0, 8.0, 16.0), (0.05, 0.2, 0.5, 1.0, 2.0)
