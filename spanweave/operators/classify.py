@@ -19,7 +19,7 @@ def stance(df: DataFrame, r: Rules = RULES) -> DataFrame:
     return out.withColumn("stance_ok", F.col("is_standing") | F.col("leg_vis"))
 
 
-def _pose(up: float, lateral: float, elbow: float, elbow_up: float, visible: float) -> Column:
+def pose_rule(up: float, lateral: float, elbow: float, elbow_up: float, visible: float) -> Column:
     bent = ~F.isnan("elb_min") & (F.col("elb_min") < elbow) & (F.col("up_best") > elbow_up)
     return holds(((F.col("up_best") > up) | (F.col("lat_best") > lateral) | bent) & (F.col("wv_best") > visible))
 
@@ -27,7 +27,7 @@ def _pose(up: float, lateral: float, elbow: float, elbow_up: float, visible: flo
 def hands(df: DataFrame, r: Rules = RULES) -> DataFrame:
     """df: with best arms and d_wrist."""
     out = df.withColumns({
-        "hand_pose": _pose(r.up, r.lateral, r.elbow, r.elbow_up, r.visible), "hand_pose_loose": _pose(r.loose_up, r.loose_lateral, r.loose_elbow, r.loose_elbow_up, r.loose_visible),
+        "hand_pose": pose_rule(r.up, r.lateral, r.elbow, r.elbow_up, r.visible), "hand_pose_loose": pose_rule(r.loose_up, r.loose_lateral, r.loose_elbow, r.loose_elbow_up, r.loose_visible),
         "hand_move": holds(F.col("d_wrist") > r.wrist_move),
     })
     return out.withColumn("hand_dance", F.col("hand_pose") | F.col("hand_move"))

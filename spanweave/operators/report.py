@@ -54,6 +54,21 @@ def summary_json(summary: DataFrame) -> DataFrame:
     return summary.select("video", F.to_json(F.struct(*[c for c in summary.columns if c != "video"])).alias("json"))
 
 
+SUMMARY = "step_s double, bridge_s double, min_dance_s double, n_frames long, n_dance_frames long, n_blocks long, n_clips long, total_clip_s double"
+
+
+def read_summary(rows: DataFrame) -> DataFrame:
+    """The summaries that summary_json() wrote; a text that is no summary gives nulls."""
+    return rows.select("video", F.from_json("json", SUMMARY).alias("s")).select("video", "s.*")
+
+
+def batch_rows(series: DataFrame, summary: DataFrame) -> DataFrame:
+    """A row for each series of a batch: what it gave, whether it went well, and else why not. One failed series leaves the others as they are."""
+    out = series.select("video").distinct().join(summary, "video", "left")
+    ok = F.coalesce(F.col("n_frames") > 0, F.lit(False))
+    return out.select("video", F.when(ok, F.col("n_clips")).otherwise(0).cast("long").alias("clips"), F.when(ok, F.col("total_clip_s")).otherwise(0.0).alias("seconds"), ok.cast("long").alias("ok"), F.when(~ok, F.lit("no samples")).alias("err"))
+
+
 def batch_summary(summary: DataFrame) -> DataFrame:
     """Totals over all series; a series without frames counts as failed."""
     ok = F.col("n_frames") > 0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import distance
 
+
 def by_frame() -> WindowSpec:
     return Window.partitionBy("video").orderBy("frame")
 
@@ -56,3 +57,14 @@ def array_motion(df: DataFrame, array: str, key: str, order: str, start: int = 1
     total = F.aggregate(F.zip_with(now, before, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v)
     return df.withColumn("motion", F.when(before.isNull(), F.lit(0.0)).otherwise(total / F.size(now)))
 
+
+def is_triple(values: Column, limit: float) -> Column:
+    """Whether an array shows one panel three times: its first two thirds and its last two thirds differ by less than limit on average."""
+    third = F.floor(F.size(values) / 3).cast("int")
+    apart = F.zip_with(F.slice(values, 1, 2 * third), F.slice(values, third + 1, 2 * third), lambda a, b: F.abs(a - b))
+    return F.aggregate(apart, F.lit(0.0), lambda s, v: s + v) / F.size(apart) < limit
+
+
+def middle_third(values: Column) -> Column:
+    third = F.floor(F.size(values) / 3).cast("int")
+    return F.slice(values, third + 1, third)

@@ -207,10 +207,12 @@ _box = {f"{a}{i}": WINDOW.format(n=n, v=f"{c} {'-' if i == 0 else '+'} {_half}")
 OFFSETS = "offs as (select *, coalesce(sum(clip_dur_s) over (partition by video order by clip rows between unbounded preceding and 1 preceding), 0.0::double) as offset_s from clip_table)"
 SUMMARY = """summary as (select f.video, n_frames, n_dance_frames, coalesce(n_blocks, 0) as n_blocks, coalesce(n_clips, 0) as n_clips, coalesce(total_clip_s, 0.0::double) as total_clip_s, 3.0::double as step_s, 27.0::double as bridge_s, 24.0::double as min_dance_s
   from (select video, count(*) as n_frames, count_if(dance)::bigint as n_dance_frames from flags group by video) f left join (select video, count(*) as n_blocks, count_if(is_kept)::bigint as n_clips, sum(case when is_kept then clip_dur_s else 0.0::double end) as total_clip_s from blocks group by video) b on f.video = b.video)"""
-SEED = "(7000 + video * 7 + k * 13 + floor(t)::bigint * 3 + case when edge = 's' then 1 else 2 end)"
-REFINE = f"""{MERGED},
+#: The gate has its own elbow rule: an undefined angle is passed over.
+GATED = f"""elbows as (select * exclude (elb_min), least(case when isnan(elb_l) then 999.0::double else coalesce(elb_l, 999.0::double) end, case when isnan(elb_r) then 999.0::double else coalesce(elb_r, 999.0::double) end) as elb_min from best),
+gated as (select video, frame, coalesce(sh_y < {R.shoulder_y}::double and sh_w < {R.shoulder_width}::double, false) and {_pose(R.up, R.lateral, R.elbow, R.elbow_up, R.visible)} as gate from elbows)"""
+REFINE = f"""{MERGED}, {GATED},
 tasks as (select video, block, edge, k, base_t + k as t from (select video, block, 's' as edge, start_s as base_t from merged union all select video, block, 'e', end_s from merged), (select unnest(range(-15, 16)) as k) where base_t + k >= 0),
-gates as (select *, case when {SEED} % 7 <> 6 then coalesce({SEED} % 5 < 3, false) else false end as g from tasks),
+gates as (select tasks.*, coalesce(gated.gate, false) as g from tasks left join gated on tasks.video = gated.video and floor(t / 3.0::double) = gated.frame),
 pairs as (select *, g and coalesce(lead(g) over w, false) as opens, g and coalesce(lag(g) over w, false) as closes from gates window w as (partition by video, block, edge order by k)),
 edges as (select video, block, min_by(t, k) filter (edge = 's' and opens) as new_s, max_by(t, k) filter (edge = 'e' and closes) as new_e from pairs group by video, block)"""
 
@@ -240,6 +242,12 @@ SQL: dict[str, str] = {
     "reviewed_blocks": chain("select video, block, a, b, dance_samples, n_parts, kept from blocks", REVIEW, blocks("rev")),
     "confidence": chain("select video, frame, confidence_e3 from stepwise"),
     "refined_edges": chain("select m.video, m.block, start_s as orig_start, end_s as orig_end, coalesce(new_s, start_s) as refined_start, coalesce(new_e, end_s) as refined_end, coalesce(new_e, end_s) - coalesce(new_s, start_s) as dur_s from merged m left join edges e on m.video = e.video and m.block = e.block", REFINE),
+    "refine_gate": chain("select video, frame, gate::bigint as gate from gated", GATED),
+    "batch_rows": chain("select v.video, coalesce(s.n_clips, 0)::bigint as clips, coalesce(s.total_clip_s, 0.0::double) as seconds, (coalesce(s.n_frames, 0) > 0)::bigint as ok, case when coalesce(s.n_frames, 0) = 0 then 'no samples' end as err from (select distinct user_id as video from events) v left join (select * from summary where video % 11 <> 3) s on v.video = s.video", blocks("flags"), SUMMARY),
+    "summary_round_trip": chain("select * from summary", blocks("flags"), SUMMARY),
+    "triple_panels": "with e as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1000)) as w from embeddings), f as (select vec_id, case when vec_id % 4 = 0 then w[1:21] || w[1:21] || w[1:21] else w end as v from e) select vec_id, (list_avg(list_transform(range(1, 2 * (len(v) // 3) + 1), lambda i: abs(v[i] - v[i + len(v) // 3]))) < 12)::bigint as triple, len(v) // 3 as width from f",
+    "filter_escape": "select page_id, replace(replace('C:\\data\\' || coalesce(url, ''), '\\', '/'), ':', '\\:') as escaped from pages",
+    "catalog_outside": f"with {CATALOG.format(where='')}, done as (select distinct dir as d from ({'with ' + CATALOG.format(where=' where page_id % 5 = 0')} select * from cat)) select path, dir from cat where not exists (select 1 from done where dir = d or starts_with(dir, d || '/'))",
     "compilation_offsets": chain(f"select video, clip, file, offset_s, offset_s + clip_dur_s as offset_end_s, {short('offset_s')} as offset_tc, {short('(offset_s + clip_dur_s)')} as offset_end_tc from offs", blocks("flags"), CLIP_TABLE, OFFSETS),
     "manifest": chain("select video, string_agg(printf('# %2d  %-30s  %s - %s  (%.1fs)', clip, file, src_start, src_end, clip_dur_s), chr(10) order by clip) || chr(10) || chr(10) || string_agg('file ''' || file || '''', chr(10) order by clip) as text from clip_table group by video", blocks("flags"), CLIP_TABLE),
     "commands": chain("select video, clip, printf('-ss %.3f -t %.3f', start_s, clip_dur_s) as arguments, file from clip_table", blocks("flags"), CLIP_TABLE),
@@ -252,7 +260,7 @@ SQL: dict[str, str] = {
     "joint_angles": f"with {EMB} select vec_id, {_angles()} from emb",
     "reliable_extent": f"with {EMB}, v as (select vec_id, list_transform({EXTENT}, lambda p: p.y) as ys from emb) select vec_id, {e6('list_min(ys)', 'vis_top')}, {e6('list_max(ys)', 'vis_bot')}, {e6('list_max(ys) - list_min(ys)', 'vis_span')}, len(ys) as n_rel from v",
     "hand_shape": f"with {HANDS} select vec_id, " + ", ".join(e6(n, n) for n in ("palm_open", "tip_spread", "pinch", "openness", "hand_size_px")) + " from hand",
-    "hand_shape_describe": f"with {HANDS}, u as (select label, floor(palm_open * 1000 + 0.5)::bigint as v from hand) select label, count(v) as n, sum(v)::bigint as total, min(v) as least, max(v) as most, quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75 from u group by label",
+    "hand_shape_describe": f"with {HANDS}, u as (select label, floor(palm_open * 1000 + 0.5)::bigint as v from hand) select label, count(v) as n, sum(v)::bigint as total, min(v) as least, max(v) as most, quantile_cont(v, 0.25) as q25, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.75) as q75, floor(avg(v) * 1000 + 0.5)::bigint as mean_e3, floor(stddev_samp(v) * 1000 + 0.5)::bigint as std_e3 from u group by label",
     "open_ratio": f"with {HANDS} select label, count_if(openness > 0.85::double)::bigint as n_open, count(*) as n from hand group by label",
     "hand_window": chain("select video, frame, " + ", ".join(f"{v} as {n}" for n, v in _box.items()) + f", ({_box['x1']} - {_box['x0']} >= 48 and {_box['y1']} - {_box['y0']} >= 48)::bigint as ok from samples where det"),
     "array_motion": motion(1, 64),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import pose
-from .functions.columns import parse_duration, timecode, timecode_short
+from .functions.columns import filter_escape, parse_duration, timecode, timecode_short
 from .operators import attribute, catalog, classify, refine, report, segment, signals
 
 from .sources.samples import landmarks, read, sample_grid, samples
@@ -151,11 +151,13 @@ def q_confidence(spark, d):
 
 
 def q_refined_edges(spark, d):
-    """The gate of a second is a stand-in: a fixed function of series, edge and second."""
+    """Edges by the gate of the samples that cover each second around them."""
     blocks = segment.merged_candidates(segment.candidates(_stepwise(spark, d)))
-    t = refine.tasks(blocks)
-    seed = F.col("video") * 7 + F.col("k") * 13 + F.floor(F.col("t")) * 3 + F.when(F.col("edge") == "s", 1).otherwise(2)
-    return refine.refine(blocks, t.withColumn("gate", F.when(F.pmod(seed, F.lit(7)) != 6, F.pmod(seed, F.lit(5)) < 3)))
+    return refine.refine(blocks, refine.at_times(refine.tasks(blocks), refine.gate(_samples(spark, d))))
+
+
+def q_refine_gate(spark, d):
+    return refine.gate(_samples(spark, d)).select("video", "frame", *bits("gate"))
 
 
 def q_compilation_offsets(spark, d):
@@ -183,6 +185,35 @@ def q_batch_summary(spark, d):
     return report.batch_summary(q_run_summary(spark, d))
 
 
+def q_batch_rows(spark, d):
+    """Every eleventh customer of the events has lost its samples."""
+    series = read(spark, d, "events").select(F.col("user_id").alias("video"))
+    return report.batch_rows(series, q_run_summary(spark, d).where("video % 11 != 3"))
+
+
+def q_summary_round_trip(spark, d):
+    return report.read_summary(report.summary_json(q_run_summary(spark, d)))
+
+
+def q_triple_panels(spark, d):
+    """Arrays of 64 values, of which some repeat their first third."""
+    v = F.transform("embedding", lambda x: F.floor(x * 1000).cast("double"))
+    first = F.slice(v, 1, 21)
+    rows = read(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 4 == 0, F.concat(first, first, first)).otherwise(v).alias("v"))
+    return rows.select("vec_id", signals.is_triple(F.col("v"), 12.0).cast("long").alias("triple"), F.size(signals.middle_third(F.col("v"))).cast("long").alias("width"))
+
+
+def q_filter_escape(spark, d):
+    return read(spark, d, "pages").select("page_id", filter_escape(F.concat(F.lit("C:\\data\\"), F.coalesce("url", F.lit("")))).alias("escaped"))
+
+
+def q_catalog_outside(spark, d):
+    """What does not lie below the directories of every fifth page, which hold results."""
+    rows = catalog.scan(_paths(spark, d), (".html",))
+    done = catalog.scan(_paths(spark, d).where("page_id % 5 = 0"), (".html",)).select(F.col("dir").alias("outdir"))
+    return catalog.outside(rows, done).select("path", "dir")
+
+
 def q_pick_samples(spark, d):
     return report.picks(_flags(spark, d), F.col("dance") & (F.col("m_e5") > 12_000)).select("video", "frame", "pick")
 
@@ -219,7 +250,7 @@ def q_hand_shape(spark, d):
 def q_hand_shape_describe(spark, d):
     units = _hands(spark, d).select("label", F.floor(F.col("palm_open") * 1000 + 0.5).alias("v"))
     q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return units.groupBy("label").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"))
+    return units.groupBy("label").agg(F.count("v").alias("n"), F.sum("v").alias("total"), F.min("v").alias("least"), F.max("v").alias("most"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.floor(F.avg("v") * 1000 + 0.5).cast("long").alias("mean_e3"), F.floor(F.stddev_samp("v") * 1000 + 0.5).cast("long").alias("std_e3"))
 
 
 def q_open_ratio(spark, d):
