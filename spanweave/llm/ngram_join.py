@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, drop_path, list_array, mix64, release_shuffles, slices, staged
+from .common import Workspace, drop_path, frugal, list_array, mix64, release_shuffles, slices, staged
 from .shingles import STEP, set_digest, shingle_sets
 
 #: Parts of the hash range that the suffix filter compares.
@@ -48,6 +48,7 @@ def low_end_of(percent: int) -> int:
 def _sketches(n: int, percent: int) -> Callable:
     low_end = np.uint64(low_end_of(percent))
 
+    @frugal
     def run(batches):
         for batch, texts in slices(batches, "text"):
             sets = shingle_sets(texts, n)
@@ -68,6 +69,7 @@ def _sketches(n: int, percent: int) -> Callable:
 def _full_sets(n: int, bits: np.ndarray) -> Callable:
     """Sets of the documents whose id is in a Bloom filter."""
 
+    @frugal
     def run(batches):
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy().view(np.uint64)

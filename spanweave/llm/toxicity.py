@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, fresh, list_array, release_shuffles, slices, trim_memory
+from .common import Workspace, fresh, frugal, list_array, release_shuffles, slices, trim_memory
 from .shingles import shingle_sets
 from .tokenizing import forget_encoders
 
@@ -204,6 +204,7 @@ def _words(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), list_array(names.take(pa.array(word)), many), list_array(pa.array(number.astype(np.int32)), many), pa.array(low, pa.list_(pa.int64()))], names=["doc_id", "toxic", "words", "counts", "low"])
 
 
+@frugal
 def _frequencies(batches):
     """Words and the number of rows of a task that hold them; a word may come more than once."""
     forget_encoders()
@@ -348,9 +349,9 @@ SCORES = "doc_id long, score double, evidence array<struct<doc_id: bigint, simil
 
 
 def _score(model: Model, evidence: int) -> Callable:
+    @frugal
     def run(batches):
         forget_encoders()
-        trim_memory()  # a worker keeps what it needed for the task before
         for batch, texts in slices(batches, "text", TEXT_BYTES):
             scores, near, examples = model.score(texts)
             near, examples = near[:, :evidence], examples[:, :evidence]
@@ -373,9 +374,9 @@ def remove_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text_col
     plain = next((f.name for f in docs.schema if f.name.lower() == text_col.lower() and f.dataType.simpleString() == "string"), None)
     probe = plain or fresh(docs.columns, "probe_text")
 
+    @frugal
     def run(batches):
         forget_encoders()
-        trim_memory()  # a worker keeps what it needed for the task before
         for batch, texts in slices(batches, probe, TEXT_BYTES):
             out = batch.filter(pa.array(model.score(texts)[0] < threshold))
             yield out if plain else out.drop_columns([probe])
