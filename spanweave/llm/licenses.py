@@ -7,7 +7,7 @@ each other are merged, which bridges inserted or lost words; a span holds if the
 the template. Hits are verified by their words, not only by their hashes.
 
 A phrase must be there word for word, so its diagonal needs a vote from each of its k-grams. Templates need
-`coverage` of their k-grams on merged diagonals.
+`coverage` of their different k-grams on merged diagonals.
 
 Defined results: null or wordless text has no words, no labels and score 0; rows with equal ids are scanned apart;
 a null id stays null; overlapping places count each; an empty table gives no rows; further columns are ignored.
@@ -74,19 +74,26 @@ def gram_hash(at: Column, k: int) -> Column:
 
 
 def hits(docs: DataFrame, grams: DataFrame, ks: list[int], id_col: str, text_col: str) -> DataFrame:
-    """A row for each document (place null) and for each verified k-gram hit."""
+    """A row for each verified k-gram hit, and one with a null template for a document without any.
+
+    Only the places whose hash stands in a template leave a text's array; their number is what the join works on. The
+    hashes of the templates are bounded by the templates.
+    """
     cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), words_of(F.col(text_col).cast("string")).alias("words"))
-    def rolling(k: int) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size("words") - k), lambda i: gram_hash(i, k))
-        return F.when(F.size("words") >= k, hashes).otherwise(F.array().cast("array<bigint>"))
+    wanted: dict[int, set[int]] = {k: set() for k in ks}
+    for r in grams.select("k", "hash").collect():
+        wanted[r.k].add(r.hash)
+
+    def places(k: int) -> Column:
+        here = F.filter(F.sequence(F.lit(0), F.size("words") - k), lambda i: gram_hash(i, k).isin(sorted(wanted[k])))
+        rows = F.transform(here, lambda i: F.struct(F.lit(k).alias("k"), i.alias("place"), gram_hash(i, k).alias("hash")))
+        return F.when(F.size("words") >= k, rows).otherwise(F.array().cast("array<struct<k: int, place: int, hash: bigint>>"))
 
-    each = cut.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.array(*(F.struct(F.lit(k).alias("k"), rolling(k).alias("hashes")) for k in ks)).alias("all"))
-    out = each.select("row", "doc_id", "n_words", "words", F.explode("all").alias("g")).select("row", "doc_id", "n_words", "words", F.col("g.k").alias("dk"), F.posexplode_outer(F.concat("g.hashes", F.array(F.lit(0).cast("bigint")))).alias("place", "dhash"))
-    last = F.col("place") > F.col("n_words") - F.col("dk")  # the added element stands for the document itself
-    joined = out.withColumn("anchor", last | (F.col("n_words") < F.col("dk"))).join(F.broadcast(grams.withColumnRenamed("words", "wanted")), (F.col("dhash") == F.col("hash")) & (F.col("dk") == F.col("k")) & ~F.col("anchor"), "left")
-    found = joined.where(F.col("anchor") & (F.col("dk") == ks[0]) | F.col("hash").isNotNull())
-    true = F.slice("words", F.col("place") + 1, F.col("dk")) == F.col("wanted")
-    return found.where(F.col("hash").isNull() | true).select("row", "doc_id", "n_words", "template", "base", "label", "grams", "at", F.when(F.col("hash").isNotNull(), F.col("place").cast("long")).alias("place"), "k")
+    each = cut.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", F.concat(*(places(k) for k in ks)).alias("all"))
+    out = each.select("row", "doc_id", "n_words", "words", F.explode_outer("all").alias("g")).select("row", "doc_id", "n_words", F.slice("words", F.coalesce("g.place", F.lit(0)) + 1, F.coalesce("g.k", F.lit(1))).alias("here"), F.col("g.place").cast("long").alias("at_word"), F.col("g.hash").alias("dhash"))
+    # equal words decide, not equal hashes
+    joined = out.join(F.broadcast(grams), (F.col("dhash") == F.col("hash")) & (F.col("here") == F.col("words")), "left")
+    return joined.select("row", "doc_id", "n_words", "template", "base", "label", "grams", "at", F.when(F.col("template").isNotNull(), F.col("at_word")).alias("place"), "k")
 
 
 def spans(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, coverage: float = 0.6, slack: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,13 +107,14 @@ def spans(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dic
     grams = template_grams(spark, phrases, templates)
     ks = sorted({min(k, len(_cut(t))) for k, ts in ((SHORT, phrases), (LONG, templates.values())) for t in ts if _cut(t)}) or [SHORT]
     found = hits(docs, grams, ks, id_col, text_col)
-    votes = found.groupBy("row", "doc_id", "n_words", "template", "base", "label", "grams", "k", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("at").alias("votes"), F.min("place").alias("first"), (F.max("place") + F.max("k")).alias("stop"))
+    votes = found.groupBy("row", "doc_id", "n_words", "template", "base", "label", "grams", "k", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_list("at").alias("ats"), F.min("place").alias("first"), (F.max("place") + F.max("k")).alias("stop"))
     same = Window.partitionBy("row", "template").orderBy("diagonal")
     # diagonals of phrases stay apart; those of templates join their neighbour
     near = (F.col("diagonal") - F.lag("diagonal").over(same) <= slack) & ~F.col("base")
     group = F.sum(F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).over(same.rowsBetween(Window.unboundedPreceding, 0))
-    merged = votes.withColumn("group", group).groupBy("row", "doc_id", "n_words", "template", "base", "label", "grams", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("start"), F.max("stop").alias("stop"))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
+    merged = votes.withColumn("group", group).groupBy("row", "doc_id", "n_words", "template", "base", "label", "grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("first").alias("start"), F.max("stop").alias("stop"))
+    # a place of the template counts once, however many of the merged diagonals hold it
+    share = F.col("votes") / F.col("grams")
     good = F.when(F.col("base"), F.col("votes") == F.col("grams")).otherwise(share >= coverage)
     ok = F.col("template").isNotNull() & F.coalesce(good, F.lit(False))
     keep = [F.when(ok, F.col(c)).alias(c) for c in ("template", "base", "label", "start", "stop")]

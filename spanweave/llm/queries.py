@@ -97,11 +97,11 @@ tk as (select *, least(case when base then 2 else 4 end, len(w)) as k from t),
 tg as (select template, base, label, k, len(w) - k + 1 as grams, pl, {grams} as g from (select *, unnest(range(0, len(w) - k + 1)) as pl from tk)),
 docs as (select row_number() over () as row, doc_id, {words.format("text")} as w from documents),
 dg as (select row, pl, k, {grams} as g from (select row, w, k, unnest(range(0, len(w) - k + 1)) as pl from docs, (select distinct k from tg))),
-votes as (select row, template, base, label, grams, dg.pl - tg.pl as diagonal, count(*) as votes, min(dg.pl) as first from dg join tg on dg.k = tg.k and dg.g = tg.g group by all),
+votes as (select row, template, base, label, grams, dg.pl - tg.pl as diagonal, list(tg.pl) as ats, min(dg.pl) as first from dg join tg on dg.k = tg.k and dg.g = tg.g group by all),
 marked as (select *, case when not base and diagonal - lag(diagonal) over (partition by row, template order by diagonal) <= 3 then 0 else 1 end as opens from votes),
 grouped as (select *, sum(opens) over (partition by row, template order by diagonal rows between unbounded preceding and current row) as grp from marked),
-spans as (select row, template, base, label, grams, sum(votes) as votes, min(first) as start from grouped group by row, template, base, label, grams, grp),
-good as (select *, least(1.0::double, votes / grams) as share from spans where case when base then votes = grams else least(1.0::double, votes / grams) >= 0.6::double end)
+spans as (select row, template, base, label, grams, len(list_distinct(flatten(list(ats)))) as votes, min(first) as start from grouped group by row, template, base, label, grams, grp),
+good as (select *, votes / grams as share from spans where case when base then votes = grams else votes / grams >= 0.6::double end)
 select doc_id, len(w) as n_words, count(case when base then 1 end) as n_base, min(case when base then start end) as first_word, max(case when base then start end) as last_word,
   coalesce(string_agg(distinct case when base then label end, ',' order by case when base then label end), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(case when base then 1.0::double else share end), 0.0::double) as score
 from docs left join good on docs.row = good.row group by docs.row, doc_id, w"""

@@ -383,6 +383,10 @@ def test_licenses(docs, none, spark):
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
     assert "mit-text" in got[7].labels and "mit-text" in got[8].labels and "reserved" in got[9].labels
     assert licenses.scan(none).isEmpty() and licenses.scan(docs).count() == len(corpus())
+    # one piece again and again covers one place of the template only
+    df = spark.createDataFrame([(1, "one two three four " * 4), (2, "so one two three four five six seven")], "doc_id long, text string")
+    found = licenses.spans(df, {}, {"t": "one two three four five six seven"}, slack=4).where("template is not null").collect()
+    assert [(r.doc_id, r.start, r.stop, r.share) for r in found] == [(2, 1, 8, 1.0)]
 
 
 def toxic_corpus():
