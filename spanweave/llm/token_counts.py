@@ -52,32 +52,41 @@ def assign(starts: np.ndarray, ends: np.ndarray, borders: np.ndarray, rule: str)
     return out, cross
 
 
+def tally(at: np.ndarray, counts: np.ndarray, borders: list[np.ndarray], rule: str) -> dict[str, np.ndarray]:
+    """Sections of many documents at once: section, characters, tokens, crossing tokens, and the document of each.
+
+    at: the tokens' first characters; counts: tokens of each document; borders: of each document's sections. The
+    documents lie one behind the other with a place between them, so that one search finds the section of each token.
+    """
+    many, length = np.array([len(b) - 1 for b in borders], np.int64), np.array([b[-1] for b in borders], np.int64)
+    base, ends = np.cumsum(length + 1) - (length + 1), np.cumsum(counts)
+    begin = at.astype(np.int64) + np.repeat(base, counts)
+    # a token ends where the next one with another first character begins; parts of one character share it
+    following = np.append(begin[1:], 0) if len(begin) else begin.copy()
+    some = counts > 0
+    following[ends[some] - 1] = (base + length)[some]
+    following = np.maximum(following, begin + 1)
+    doc = np.repeat(np.arange(len(borders)), many)
+    first = np.concatenate([b[:-1] for b in borders]) if borders else np.zeros(0, np.int64)
+    where, cross = assign(begin, following, np.append(first + base[doc], (length + 1).sum()), rule)
+    return {
+        "doc": doc, "section": np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many), "char_start": first, "char_end": np.concatenate([b[1:] for b in borders]) if borders else first,
+        "n_tokens": np.bincount(where, minlength=len(doc)), "n_crossing": np.bincount(where[cross], minlength=len(doc)),
+    }
+
+
+def _rows(docs: pa.Array, counts: np.ndarray, found: dict[str, np.ndarray]) -> pa.RecordBatch:
+    doc, section = found.pop("doc"), found.pop("section")
+    return pa.RecordBatch.from_arrays([docs.take(pa.array(doc)), pa.array(section.astype(np.int32)), *(pa.array(v.astype(np.int64)) for v in found.values()), pa.array(counts[doc].astype(np.int64))], names=["doc_id", "section", *found, "doc_tokens"])
+
+
 def _count(path: str, separator: str, rule: str, specials: bool = False) -> Callable:
     def run(batches):
         enc = encoder(path, starts=True, specials=specials)
         for batch, texts in slices(batches, "text"):
             _, counts, at = enc.encode(texts)
-            docs, strings = batch.column(batch.schema.get_field_index("doc_id")), texts.to_pylist()
-            ends = np.cumsum(counts)
-            many, cols = [], {k: [] for k in ("section", "char_start", "char_end", "n_tokens", "n_crossing")}
-            for text, b, n in zip(strings, ends.tolist(), counts.tolist(), strict=True):
-                borders = sections_of(text, separator)
-                k = len(borders) - 1
-                begin = at[b - n : b]
-                # a token ends where the next one with another first character begins; parts of one character share it
-                following = np.append(begin[1:], len(text))
-                if n and (same := following <= begin).any():
-                    following = np.where(same, begin + 1, following)
-                where, cross = assign(begin, following, borders, rule)
-                many.append(k)
-                cols["section"].append(np.arange(k))
-                cols["char_start"].append(borders[:-1])
-                cols["char_end"].append(borders[1:])
-                cols["n_tokens"].append(np.bincount(where, minlength=k))
-                cols["n_crossing"].append(np.bincount(where[cross], minlength=k))
-            rows = np.repeat(np.arange(len(many)), many)
-            out = {k: pa.array(np.concatenate(v).astype(np.int32 if k == "section" else np.int64)) for k, v in cols.items()}
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(rows)), *out.values(), pa.array(counts[rows])], names=["doc_id", *out, "doc_tokens"])
+            borders = [sections_of(t, separator) for t in texts.to_pylist()]
+            yield _rows(batch.column(batch.schema.get_field_index("doc_id")), counts, tally(at, counts, borders, rule))
 
     return run
 
@@ -103,16 +112,9 @@ def field_tokens(rows: DataFrame, tokenizer: str, fields: list[str], joiner: str
         enc = encoder(tokenizer, starts=True)
         for batch, texts in slices(batches, "text"):
             _, counts, at = enc.encode(texts)
-            out, ends = [], np.cumsum(counts)
-            docs, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for doc, text, size, b, n in zip(docs, texts.to_pylist(), sizes, ends.tolist(), counts.tolist(), strict=True):
-                borders = np.concatenate([[0], np.cumsum(np.array(size) + len(joiner))])
-                borders[-1] = len(text)
-                begin = at[b - n : b]
-                following = np.maximum(np.append(begin[1:], len(text)), begin + 1)
-                where, cross = assign(begin, following, borders, rule)
-                got, over = np.bincount(where, minlength=len(size)), np.bincount(where[cross], minlength=len(size))
-                out += [(doc, i, int(borders[i]), int(borders[i + 1]), int(got[i]), int(over[i]), n) for i in range(len(size))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32() if i == 1 else pa.int64()) for i in range(7)], names=[c.split()[0] for c in COUNTS.split(", ")])
+            borders = [np.concatenate([[0], np.cumsum(np.array(size) + len(joiner))]) for size in batch.column(2).to_pylist()]
+            for b, text in zip(borders, texts.to_pylist(), strict=True):
+                b[-1] = len(text)
+            yield _rows(batch.column(0), counts, tally(at, counts, borders, rule))
 
     return whole.mapInArrow(run, COUNTS)

@@ -14,6 +14,7 @@ import json
 import re
 import sys
 from array import array
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ class BatchEncoder:
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         alphabet = byte_alphabet()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        assert sys.byteorder == "little" and array(self.code).itemsize == self.dtype.itemsize
+        assert sys.byteorder == "little" and array(self.code).itemsize == self.dtype.itemsize and array("I").itemsize == 4
         self.space, self.line = alphabet[32], alphabet[10]
         self.model = self.tok.model
         self.table = {i: alphabet[i] for i in range(256)}
@@ -88,11 +89,11 @@ class BatchEncoder:
         if not self.starts:
             return ids
         # starts: the first characters of the tokens as 4-byte integers
-        at = np.cumsum([0, *(len(t.value) for t in found[:-1])])[: len(found)]  # each character stands for a byte
+        at = array("I", accumulate((len(t.value) for t in found[:-1]), initial=0))[: len(found)]  # each character stands for a byte
         if len(raw) != len(p):
             lead = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
-            at = lead[at]
-        return ids, at.astype("<u4").tobytes()
+            return ids, lead[at].astype("<u4").tobytes()
+        return ids, at.tobytes()
 
     def _fill(self, keys: list[str]) -> None:
         """Encodes units that are not remembered."""
@@ -120,7 +121,7 @@ class BatchEncoder:
                 continue
             parts = [(m.start(), pre(m[0])) for m in cut.finditer(k if byte else k.lower())]
             if self.starts:
-                new[k] = b"".join(v[0] for _, v in parts), b"".join(v[1] if not a else (np.frombuffer(v[1], "<u4") + np.uint32(a)).tobytes() for a, v in parts)
+                new[k] = b"".join(v[0] for _, v in parts), b"".join(v[1] if not a else array("I", [a + i for i in array("I", v[1])]).tobytes() for a, v in parts)
             else:
                 new[k] = b"".join([v for _, v in parts])
         if hard:
