@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by largest inner product: inverted lists of coarse centroids with product-quantised
 residuals, asymmetric distance tables, and exact reranking.
 
-Fit: coarse centroids and residual codebooks come from at most `sample` rows (least by a hash of their id), and so
-does the share of lists that a search must visit: the least share whose recall on the sample reaches `target`. Every
-row is indexed. The index is a table in the shared folder: list, id, code, vector.
-
-Search: lists are dealt to bins of bounded size, a long list to several. A bin's rows come first and stay in memory,
-then queries stream past: the distance tables of a query score the rows of its lists, those that may be among
-the k best of the bin within the quantisation error (`rerank` at least) are scored exactly in double precision, and the best k of each bin go to the final ranking. Queries are a column of ids
-of the table itself; a query's own id is no candidate.
+Fit: coarse centroids and residual codebooks come from at most `sample` rows (least by a hash of their id). There are
+about as many lists as the root of the number of rows: where the sample is too small for that many centroids, a second
+set of centroids, of what the first leaves, divides each list. The share of lists that a search visits is the least one
+that holds `target` of the neighbours in the sample (as many of them as stand for the k nearest of all rows); lists go
+by the score of their centroid and by how far their rows lie around it. Every row is indexed. The index is a table in
+the shared folder: list, id, code, vector (in the column's own precision).
+
+Search: lists near to each other share a bin of bounded size, a long list takes several bins, and queries go only to
+the bins of the lists they visit, in slices of bounded size; a bin comes to each slice. A bin's rows come first and stay
+in memory, then queries stream past: the distance tables of a query score the rows of its lists, those that may be among
+the k best of the bin within the quantisation error (`rerank` at least) are scored exactly in double precision, and the
+best k of each bin go to the final ranking. Queries are a column of ids of the table itself; a query's own id is no
+candidate. Queries are a fixed share of all rows, so the work is their number times the rows they visit.
 
 Defined results: vectors that are null, zero, of another length than most, or with null or non-finite components take
 no part; rows with a null id take no part; equal vectors tie and go by id; a query with fewer than k candidates gets
@@ -24,10 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import mix64, staged
+from .common import list_array, mix64, staged
 
-SAMPLE, MOST_LISTS, BIN_ROWS, LEAST_BINS = 20_000, 1024, 20_000, 16
+#: Rows of the fit, of them for each centroid; bytes of a bin's vectors, bins at least, queries of a slice, scores held at once.
+SAMPLE, CENTROID_ROWS, BIN_BYTES, LEAST_BINS, SLICE_QUERIES, SCORES = 20_000, 16, 16 << 20, 16, 50_000, 4 << 20
+#: Widths (in spreads of a list's rows) by which lists may be raised in the order of visits; the fit chooses one.
+WIDTHS = (0.0, 1.0, 2.0, 3.0)
 #: Quantisation errors (of usual size) by which a row may be better than its approximate score.
 MARGIN = np.float32(2.5)
 INDEX = "list int, id long, code binary, vector binary"
@@ -74,16 +83,56 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 @dataclass
 class Quantiser:
     dim: int
-    coarse: np.ndarray
+    kind: str  # the type of stored components
+    first: np.ndarray
+    second: np.ndarray  # centroids of what the first leave: list i * len(second) + j
     cuts: list[np.ndarray]  # the dimensions of each part
     books: list[np.ndarray]
-    share: float
+    spread: np.ndarray  # of each list
+    width: float = 0.0
+    share: float = 1.0
+
+    @property
+    def lists(self) -> int:
+        return len(self.first) * len(self.second)
+
+    @property
+    def coarse(self) -> np.ndarray:
+        return (self.first[:, None, :] + self.second[None]).reshape(self.lists, self.dim)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        a = nearest(x, self.first)
+        return a * len(self.second) + nearest(x - self.first[a], self.second)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a = nearest(x, self.coarse)
-        rest = x - self.coarse[a]
+        a = self.assign(x)
+        rest = x - self.first[a // len(self.second)] - self.second[a % len(self.second)]
         return a, np.stack([nearest(rest[:, c], b) for c, b in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
+    def known(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What list and code say of a vector."""
+        out = self.first[lists // len(self.second)] + self.second[lists % len(self.second)]
+        for part, (cut, book) in enumerate(zip(self.cuts, self.books, strict=True)):
+            out[:, cut] += book[codes[:, part]]
+        return out
+
+    def centre_scores(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of queries with the centroids of all lists."""
+        return ((q @ self.first.T)[:, :, None] + (q @ self.second.T)[:, None, :]).reshape(len(q), self.lists)
+
+    def order(self, q: np.ndarray, width: float) -> np.ndarray:
+        """The lists in the order in which each query visits them."""
+        far = width * np.sqrt((q * q).sum(axis=1))
+        return np.argsort(-(self.centre_scores(q) + far[:, None] * self.spread), axis=1, kind="stable")
+
+    def visits(self, q: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+        """Whether a query visits a list: the share of the lists, and more until they have `least` rows."""
+        order = self.order(q, self.width)
+        most = np.maximum((np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1, int(np.ceil(self.share * self.lists)))
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, np.arange(self.lists) < most[:, None], axis=1)
+        return out
+
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """For each part the inner products of the queries with its codewords."""
         return [(q[:, c] @ b.T).astype(np.float32) for c, b in zip(self.cuts, self.books, strict=True)]
@@ -102,17 +151,35 @@ def fit(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding
     x, _ = matrix(column, dim)
     if not len(x):
         return None
-    x = np.unique(x, axis=0)  # a vector that is there often must not stand for the others
-    lists = int(min(MOST_LISTS, max(1, round(n**0.5)), len(x)))
-    coarse = kmeans(x, lists, 8, 1)
-    rest = x - coarse[nearest(x, coarse)]
-    cuts = [c for c in np.array_split(np.arange(dim), min(parts, dim)) if len(c)]
-    books = [kmeans(rest[:, c], min(256, len(x)), 5, 2 + i) for i, c in enumerate(cuts)]
-    return Quantiser(dim, coarse, cuts, books, _share(x, coarse, k, target))
-
-
-def _share(x: np.ndarray, coarse: np.ndarray, k: int, target: float, queries: int = 200) -> float:
-    """Least share of the lists, by inner product with the query, that hold `target` of the true neighbours in the sample."""
+    kind = "<f4" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "<f8"
+    drawn, x = len(x), np.unique(x, axis=0)  # a vector that is there often must not stand for the others
+    first, second = _centroids(x, max(1, round(n**0.5)))
+    model = Quantiser(dim, kind, first, second, [c for c in np.array_split(np.arange(dim), min(parts, dim)) if len(c)], [], np.zeros(len(first) * len(second)))
+    a = model.assign(x)
+    rest = x - model.first[a // len(second)] - model.second[a % len(second)]
+    model.books = [kmeans(rest[:, c], min(256, len(x)), 5, 2 + i) for i, c in enumerate(model.cuts)]
+    # spread of a list's rows in one direction; lists with few rows in the sample lean on that of all
+    far = (rest * rest).sum(axis=1) / dim
+    many = np.bincount(a, minlength=model.lists)
+    model.spread = np.sqrt((np.bincount(a, weights=far, minlength=model.lists) + 4 * far.mean()) / (many + 4))
+    # a sample of one row in ten holds two of the 20 nearest of all rows
+    stands = max(1, round(k * min(1.0, drawn / max(n, 1))))
+    model.share, model.width = min((_share(x, a, model, w, stands, target), w) for w in WIDTHS)
+    return model
+
+
+def _centroids(x: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second centroids that give about so many lists."""
+    most = max(1, len(x) // CENTROID_ROWS)
+    first = kmeans(x, min(lists, most), 8, 1)
+    more = min(most, -(-lists // len(first)))
+    if more == 1:
+        return first, np.zeros((1, x.shape[1]))
+    return first, kmeans(x - first[nearest(x, first)], more, 8, 1)
+
+
+def _share(x: np.ndarray, lists: np.ndarray, model: Quantiser, width: float, k: int, target: float, queries: int = 400) -> float:
+    """Least share of the lists, in their order for the query, that hold `target` of the true neighbours in the sample."""
     q = np.arange(0, len(x), max(1, len(x) // queries))[:queries]
     near = x[q] @ x.T
     near[np.arange(len(q)), q] = -np.inf
@@ -120,10 +187,10 @@ def _share(x: np.ndarray, coarse: np.ndarray, k: int, target: float, queries: in
     if k < 1:
         return 1.0
     top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    a = nearest(x, coarse)
-    rank = np.argsort(np.argsort(-(x[q] @ coarse.T), axis=1), axis=1)
-    where = np.sort(np.take_along_axis(rank, a[top], axis=1).reshape(-1))
-    return float((where[int(np.ceil(target * len(where))) - 1] + 1) / len(coarse))
+    rank = np.empty((len(q), model.lists), np.int64)
+    np.put_along_axis(rank, model.order(x[q], width), np.arange(model.lists)[None, :], axis=1)
+    where = np.sort(np.take_along_axis(rank, lists[top], axis=1).reshape(-1))
+    return float((where[int(np.ceil(target * len(where))) - 1] + 1) / model.lists)
 
 
 def build(vectors: DataFrame, model: Quantiser, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -134,52 +201,65 @@ def build(vectors: DataFrame, model: Quantiser, id_col: str = "vec_id", vector_c
         for b in batches:
             x, rows = matrix(b.column(1), model.dim)
             a, codes = model.encode(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), b.column(0).take(pa.array(rows)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())], names=["list", "id", "code", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), b.column(0).take(pa.array(rows)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x.astype(model.kind)], pa.binary())], names=["list", "id", "code", "vector"])
 
     return staged(cols.mapInArrow(run, INDEX), "ann-index")
 
 
-def _deal(sizes: np.ndarray, total: int) -> list[np.ndarray]:
-    """The bins of each list: one, or several for a long list."""
-    bins = max(LEAST_BINS, -(-total // BIN_ROWS))
-    limit = max(1, total // bins)
-    load, out = np.zeros(bins), [np.zeros(0, np.int64)] * len(sizes)
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        many = min(bins, max(1, -(-int(sizes[i]) // limit)))
-        out[i] = np.sort(np.argsort(load, kind="stable")[:many])
-        load[out[i]] += sizes[i] / many
-    return out
-
-
-def _spread(model: Quantiser, sizes: np.ndarray, bins: list[np.ndarray], every: int, k: int) -> Callable:
-    """Index rows to their bins, and queries to the bins of the lists they visit."""
+def _deal(centroids: np.ndarray, sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """First bin of each list, in how many it is, and the number of bins. Lists are halved along the axis on which they
+    differ most until a group has at most `limit` rows, so a bin's lists are neighbours; a longer list is in several."""
+    first, many, bins = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0
+    waiting = [np.arange(len(sizes))]
+    while waiting:
+        group = waiting.pop()
+        load = int(sizes[group].sum())
+        if load <= limit or len(group) == 1:
+            first[group], many[group] = bins, max(1, -(-load // limit))
+            bins += int(many[group[0]])
+            continue
+        weight = sizes[group].astype(float)
+        c = centroids[group] - np.average(centroids[group], axis=0, weights=weight)
+        order = np.argsort(c @ np.linalg.eigh(c.T @ (c * weight[:, None]))[1][:, -1], kind="stable")
+        cut = min(max(int(np.searchsorted(np.cumsum(weight[order]), load / 2)), 1), len(group) - 1)
+        waiting += [group[order[cut:]], group[order[:cut]]]
+    return first, many, bins
+
+
+def _vectors(column: pa.Array, kind: str, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+
+
+def _spread(model: Quantiser, sizes: np.ndarray, first: np.ndarray, many: np.ndarray, slices: int, every: int, k: int) -> Callable:
+    """Index rows to their bins (for each slice of queries), and queries to the bins of the lists they visit."""
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    # each list with each of its bins, in the order of the bins
+    lists = np.repeat(np.arange(len(sizes)), many)
+    bins = np.repeat(first, many) + np.arange(len(lists)) - np.repeat(np.cumsum(many) - many, many)
+    lists, bins = lists[(by := np.argsort(bins, kind="stable"))], bins[by]
+
+    def queries(b: pa.RecordBatch, at: np.ndarray):
+        q = _vectors(b.column(3).take(pa.array(at)), model.kind, len(at)).astype(np.float64)
+        who, pair = np.nonzero(model.visits(q, sizes, 4 * k)[:, lists])
+        starts = np.flatnonzero(np.concatenate([[True], (np.diff(who) != 0) | (np.diff(bins[pair]) != 0)]))
+        take = pa.array(at[who[starts]])
+        turn = (mix64(b.column(1).to_numpy()[at[who[starts]]].view(np.uint64)) % np.uint64(slices)).astype(np.int64)
+        m, probes = len(starts), list_array(pa.array(lists[pair].astype(np.int32)), np.diff(np.append(starts, len(pair))))
+        return pa.RecordBatch.from_arrays([
+            pa.array((bins[pair[starts]] * slices + turn).astype(np.int32)), pa.array(np.ones(m, np.int32)), b.column(1).take(take), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), b.column(3).take(take), probes,
+        ], names=names)
 
     def run(batches):
+        step = max(1, SCORES // max(len(lists), 1))
         for b in batches:
-            ids, lists = b.column(1).to_numpy(), b.column(0).to_numpy()
-            many = np.array([len(bins[i]) for i in lists], np.int64)
-            turn = (mix64(ids.view(np.uint64)) % many.astype(np.uint64)).astype(np.int64) if len(ids) else many
-            own = np.array([bins[i][t] for i, t in zip(lists, turn, strict=True)], np.int32)
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(n, np.int32)), b.column(1), b.column(0), b.column(2), b.column(3), pa.nulls(n, pa.list_(pa.int32()))], names=[c.split()[0] for c in ROWS.split(", ")])
+            n, ids, own = b.num_rows, b.column(1).to_numpy(), b.column(0).to_numpy()
+            # another mix than that of the slices
+            bin_ = first[own] + (mix64(ids.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) % many[own].astype(np.uint64)).astype(np.int64)
+            for s in range(slices):
+                yield pa.RecordBatch.from_arrays([pa.array((bin_ * slices + s).astype(np.int32)), pa.array(np.zeros(n, np.int32)), b.column(1), b.column(0), b.column(2), b.column(3), pa.nulls(n, pa.list_(pa.int32()))], names=names)
             at = np.flatnonzero(ids % every == 0)
-            if not len(at):
-                continue
-            q = np.frombuffer(b"".join(b.column(3).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), -1)
-            order = np.argsort(-(q @ model.coarse.T), axis=1, kind="stable")
-            rows = []
-            for i, o in zip(at.tolist(), order, strict=True):
-                least = int(np.searchsorted(np.cumsum(sizes[o]), 4 * k)) + 1
-                visit: dict[int, list[int]] = {}
-                for li in o[: max(least, int(np.ceil(model.share * len(o))))].tolist():
-                    for bin_ in bins[li].tolist():
-                        visit.setdefault(bin_, []).append(li)
-                rows += [(bin_, i, v) for bin_, v in sorted(visit.items())]
-            take = pa.array([r[1] for r in rows], pa.int64())
-            m = len(rows)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int32()), pa.array(np.ones(m, np.int32)), b.column(1).take(take), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), b.column(3).take(take), pa.array([r[2] for r in rows], pa.list_(pa.int32())),
-            ], names=[c.split()[0] for c in ROWS.split(", ")])
+            for i in range(0, len(at), step):
+                yield queries(b, at[i : i + step])
 
     return run
 
@@ -192,26 +272,25 @@ class Bin:
         self.model, self.ids = model, t.column("id").to_numpy()
         lists = t.column("list").to_numpy()
         self.codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(len(self.ids), -1)
-        self.vectors = np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(len(self.ids), -1)
-        known = model.coarse[lists].copy()
-        for part, (cut, book) in enumerate(zip(model.cuts, model.books, strict=True)):
-            known[:, cut] += book[self.codes[:, part]]
+        self.vectors = _vectors(t.column("vector"), model.kind, len(self.ids))
         # usual size of a score's quantisation error, for a query of length 1
-        self.error = (np.sqrt(((self.vectors - known) ** 2).sum(axis=1)) / np.sqrt(model.dim)).astype(np.float32)
-        self.members = {int(i): np.flatnonzero(lists == i) for i in np.unique(lists)}
-
-    def search(self, ids: np.ndarray, q: np.ndarray, probes: list[list[int]], k: int, rerank: int) -> list[tuple[int, int, float]]:
+        self.error = np.concatenate([
+            np.sqrt(((self.vectors[i : i + 8192] - model.known(lists[i : i + 8192], self.codes[i : i + 8192])) ** 2).sum(axis=1)) / np.sqrt(model.dim) for i in range(0, len(lists), 8192)
+        ]).astype(np.float32)
+        by = np.argsort(lists, kind="stable")
+        cuts = np.flatnonzero(np.diff(lists[by])) + 1
+        self.members = {int(lists[rows[0]]): rows for rows in np.split(by, cuts)}
+
+    def search(self, ids: np.ndarray, q: np.ndarray, probes: pa.ListArray, k: int, rerank: int) -> list[tuple[int, int, float]]:
         tables = self.model.tables(q)
-        offset = (q @ self.model.coarse.T).astype(np.float32)
         near = np.full((len(ids), len(self.ids)), -np.inf, np.float32)
-        asked: dict[int, list[int]] = {}
-        for i, ps in enumerate(probes):
-            for p in ps:
-                asked.setdefault(p, []).append(i)
-        for p, who in asked.items():
-            if (rows := self.members.get(p)) is None:
+        asked, owner = probes.flatten().to_numpy(), np.repeat(np.arange(len(ids)), probes.value_lengths().to_numpy())
+        by = np.argsort(asked, kind="stable")
+        for who in np.split(by, np.flatnonzero(np.diff(asked[by])) + 1):
+            if not len(who) or (rows := self.members.get(int(asked[who[0]]))) is None:
                 continue
-            score = np.repeat(offset[who, p][:, None], len(rows), axis=1)
+            (one, two), who = divmod(int(asked[who[0]]), len(self.model.second)), owner[who]
+            score = np.repeat((q[who] @ (self.model.first[one] + self.model.second[two])).astype(np.float32)[:, None], len(rows), axis=1)
             for part, table in enumerate(tables):
                 score += table[who][:, self.codes[rows, part]]
             near[np.ix_(who, rows)] = score
@@ -226,7 +305,7 @@ class Bin:
                 if len(some) < min(rerank, len(row)):
                     some = np.argsort(-row, kind="stable")[:rerank]
             some = some[row[some] > -np.inf]
-            exact = (self.vectors[some] * q[i]).sum(axis=1)
+            exact = (self.vectors[some].astype(np.float64) * q[i]).sum(axis=1)
             best = np.lexsort((self.ids[some], -exact))[:k]
             out += [(int(ids[i]), int(self.ids[some[b]]), float(exact[b])) for b in best]
         return out
@@ -234,10 +313,11 @@ class Bin:
 
 def _scan(model: Quantiser, k: int, rerank: int) -> Callable:
     def answer(bin_: Bin, queries: pa.RecordBatch):
-        for a in range(0, queries.num_rows, 256):
-            part = queries.slice(a, 256)
-            q = np.frombuffer(b"".join(part.column(5).to_pylist()), np.float64).reshape(part.num_rows, -1)
-            got = bin_.search(part.column(2).to_numpy(), q, part.column(6).to_pylist(), k, rerank)
+        step = min(256, max(1, SCORES // max(len(bin_.ids), 1)))
+        for a in range(0, queries.num_rows, step):
+            part = queries.slice(a, step)
+            q = _vectors(part.column(5), model.kind, part.num_rows).astype(np.float64)
+            got = bin_.search(part.column(2).to_numpy(), q, part.column(6), k, rerank)
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.float64())], names=["query_id", "vec_id", "score"])
 
     def run(batches):
@@ -264,16 +344,17 @@ def _scan(model: Quantiser, k: int, rerank: int) -> Callable:
 
 def search(index: DataFrame, model: Quantiser, every: int = 20, k: int = 20, rerank: int = 60) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of each row whose id `every` divides."""
-    counts = {r.list: r.n for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # at most MOST_LISTS rows
-    sizes = np.array([counts.get(i, 0) for i in range(len(model.coarse))], np.int64)
-    bins = _deal(sizes, int(sizes.sum()))
-    many = max(len(b) for b in bins) if bins else 1
-    parts = max(int(max((b.max() for b in bins if len(b)), default=0)) + 1, many)
-    rows = index.mapInArrow(_spread(model, sizes, bins, every, k), ROWS).repartition(parts, "bin").sortWithinPartitions("bin", "query", "id")
+    counts = index.groupBy("list").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).toArrow()  # a row for each list, about the root of all rows
+    sizes, asked = np.zeros(model.lists, np.int64), int(np.sum(counts.column("q").to_numpy()))
+    sizes[counts.column("list").to_numpy()] = counts.column("n").to_numpy()
+    most = max(1, BIN_BYTES // (model.dim * np.dtype(model.kind).itemsize))
+    first, many, bins = _deal(model.coarse, sizes, max(1, min(most, -(-int(sizes.sum()) // LEAST_BINS))))
+    slices = max(1, -(-asked // SLICE_QUERIES))
+    rows = index.mapInArrow(_spread(model, sizes, first, many, slices, every, k), ROWS).repartition(bins * slices, "bin").sortWithinPartitions("bin", "query", "id")
     found = rows.mapInArrow(_scan(model, k, rerank), "query_id long, vec_id long, score double")
+    # several rows with one query's id find a neighbour more than once: these rows share a rank
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # equal query ids of several rows would give a neighbour twice
-    ranked = found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.dense_rank().over(w)).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"])
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

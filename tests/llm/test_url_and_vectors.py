@@ -82,6 +82,40 @@ def test_ann(spark, dim):
     assert got.query_id.nunique() == 75 and hits / total >= 0.9
 
 
+def test_ann_divided(spark, monkeypatch):
+    """Lists divided by second centroids, small bins, several slices of queries, and query ids that occur twice."""
+    for name, value in {"CENTROID_ROWS": 250, "BIN_BYTES": 12 * 4 * 60, "SLICE_QUERIES": 30, "SCORES": 2000}.items():
+        monkeypatch.setattr(ann, name, value)
+    rows, odd = vectors()
+    df = spark.createDataFrame([(i, v) for i, v in rows + odd + rows[:1]], "vec_id long, embedding array<float>")
+    model = ann.fit(df)
+    assert len(model.first) == 4 and len(model.second) > 1 and model.kind == "<f4"
+    got = ann.nearest_neighbours(df).toPandas()
+    x = np.array([v for _, v in rows])
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        score = (x * x[q]).sum(axis=1)
+        score[q] = -np.inf
+        order = np.lexsort((np.arange(len(x)), -score))[:20]
+        part = part.sort_values("rank")
+        assert part["rank"].tolist() == list(range(1, 21)) and part.vec_id.is_unique and q not in set(part.vec_id)
+        hits += len(set(order) & set(part.vec_id))
+    assert got.query_id.nunique() == 75 and hits / (75 * 20) >= 0.9
+
+
+def test_bins():
+    """Every list is in bins of its own size, no bin holds more than the limit, and neighbours share one."""
+    rng = np.random.default_rng(1)
+    c, sizes = np.concatenate([rng.normal(size=(30, 4)), 50 + rng.normal(size=(30, 4))]), rng.integers(0, 40, 60)
+    sizes[7] = 1000
+    first, many, bins = ann._deal(c, sizes, 100)
+    load = np.zeros(bins)
+    for f, m, n in zip(first, many, sizes, strict=True):
+        load[f : f + m] += n / m
+    assert many[7] == 10 and (np.delete(many, 7) == 1).all() and load.max() <= 100 and load.sum() == sizes.sum()
+    assert len(set(first[:30]) & set(first[30:])) <= 1  # at the border
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest_neighbours(df).orderBy("rank").collect()]
