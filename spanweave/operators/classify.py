@@ -77,6 +77,11 @@ def classify(samples: DataFrame, r: Rules = RULES) -> DataFrame:
     return smooth(relaxed(anchors(rolling_motion(labels(df)), r), r))
 
 
+def reach(r: Rules = RULES) -> int:
+    """How many rows to each side a flag depends on: smoothing, then the nearest anchors, then the motion (or the move) of these."""
+    return 1 + r.near + 1
+
+
 def classify_stepwise(samples: DataFrame, r: Rules = RULES) -> DataFrame:
     """The stepwise rules: shoulders only, no relaxed limits, zero-padded smoothing, and a confidence in thousandths."""
     skip = F.when(F.isnan("elb_l"), F.col("elb_r")).when(F.isnan("elb_r"), F.col("elb_l")).otherwise(F.least("elb_l", "elb_r"))

@@ -226,6 +226,7 @@ SQL: dict[str, str] = {
     "motion_roll3": chain("select video, frame, m_sum3::bigint as m_sum3, m_count3, m_roll3_e5 from best"),
     "base_anchor_near": chain(f"select video, frame, {bits('active', 'base', 'anchor', 'near_anchor')} from flags"),
     "relaxed_decision": chain(f"select video, frame, m_thr_e5, relax_level, {bits('relax_ok', 'dance_raw')} from flags"),
+    "flags_in_pieces": chain(f"select video, frame, m_thr_e5, relax_level, {bits('relax_ok', 'dance_raw')} from flags"),
     "smooth_shrinking": chain(f"select video, frame, raw_sum, raw_count, {bits('dance')} from flags"),
     "smooth_zero_padded": chain(f"select video, frame, raw_sum, {bits('dance')} from stepwise"),
     "dance_result": chain("select video, frame, t, " + bits("det", "leg_vis", "stance_ok", "is_standing", "hand_pose", "hand_pose_loose", "hand_move", "hand_dance", "active", "base", "anchor", "near_anchor", "relax_ok", "dance_raw", "dance") + ", body_state, hand_state, relax_level, m_e5, m_roll3_e5, m_thr_e5, clip_id, clip_role from role_rows", blocks("flags"), SPANS, ROLES),

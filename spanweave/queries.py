@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions import pose
 from .functions.columns import filter_escape, parse_duration, timecode, timecode_short
 from .operators import attribute, catalog, classify, refine, report, segment, signals
-
+from .operators.pieces import in_pieces
 from .sources.samples import landmarks, read, sample_grid, samples
 
 
@@ -77,6 +77,11 @@ def q_relaxed_decision(spark, d):
     return _flags(spark, d).select("video", "frame", "m_thr_e5", "relax_level", *bits("relax_ok", "dance_raw"))
 
 
+def q_flags_in_pieces(spark, d):
+    flags = in_pieces(_samples(spark, d), classify.classify, classify.reach(), 20)
+    return flags.select("video", "frame", "m_thr_e5", "relax_level", *bits("relax_ok", "dance_raw"))
+
+
 def q_smooth_shrinking(spark, d):
     return _flags(spark, d).select("video", "frame", "raw_sum", "raw_count", *bits("dance"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanweave import params as P
 from spanweave.functions.columns import clip_name, filter_escape, parse_duration, timecode, timecode_short
 from spanweave.operators import attribute, catalog, classify, refine, report, segment
+from spanweave.operators.pieces import in_pieces
 from spanweave.plans import detect, stepwise
 from spanweave.sources.samples import read_table, write_table
 
@@ -121,6 +122,26 @@ def test_windows_equal_loop(spark):
     assert {k for k, r in got.items() if r.dance_raw} <= wider
 
 
+@pytest.mark.parametrize("rows", [2, 7, 1000])
+def test_pieces_equal_whole(spark, rows):
+    """Pieces shorter than the reach, pieces with borders at gaps, and one piece only."""
+    df = frame_of(spark, noisy("a", 90, 5) + noisy("b", 3, 6) + [row(None, i, 20_000) for i in range(9)])
+    for rules in (classify.classify, classify.classify_stepwise):
+        whole, cut = rules(df), in_pieces(df, rules, classify.reach(), rows)
+        assert cut.columns == whole.columns and cut.schema["video"].dataType == whole.schema["video"].dataType
+        assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    assert in_pieces(df.limit(0), classify.classify, classify.reach(), rows).isEmpty()
+
+
+def test_plan_in_pieces_and_stage(spark, tmp_path):
+    df = frame_of(spark, noisy("a", 90, 5) + noisy("b", 40, 6))
+    whole, cut = detect(df), detect(df, piece=10, stage=f"file://{tmp_path}/flags")
+    for name, table in whole.items():
+        assert sorted(map(repr, cut[name].collect())) == sorted(map(repr, table.collect())), name
+    files = cut["result"].inputFiles()
+    assert files and all(f.startswith(f"file://{tmp_path}/flags/") for f in files)
+
+
 def flagged(spark, on, n):
     return spark.createDataFrame([("v", i, i in on) for i in range(n)], "video string, frame long, dance boolean")
 
